@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semdex.llm import hilbert_sharding, mixing, quality_rules
+from semdex.llm import hilbert_sharding, mixing, packing, quality_rules, simhash, wordpiece
 from semdex.llm.common import table
 
 
@@ -18,6 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_hilbert_sharding": _docs(hilbert_sharding.hilbert_shards),
         "op5_quality_rules": _docs(quality_rules.op5),
+        "op6_simhash_near_dedup": _docs(simhash.op6),
+        "op7_token_counts": _docs(wordpiece.op7),
+        "op8_power_of_two_packing": _docs(packing.op8),
         "op9_sainte_lague_mixing": _docs(mixing.op9),
     }
 
