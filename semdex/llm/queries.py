@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semdex.llm import hilbert_sharding, mixing, packing, quality_rules, simhash, wordpiece
+from semdex.llm import crf_toxicity, hilbert_sharding, mixing, packing, pu_quality, quality_rules, simhash, wordpiece
 from semdex.llm.common import table
 
 
@@ -14,9 +14,15 @@ def _docs(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str],
     return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
 
 
+def _labelled(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pu_quality": _labelled(pu_quality.op1),
         "op3_hilbert_sharding": _docs(hilbert_sharding.hilbert_shards),
+        "op4_crf_toxicity": _labelled(crf_toxicity.op4),
         "op5_quality_rules": _docs(quality_rules.op5),
         "op6_simhash_near_dedup": _docs(simhash.op6),
         "op7_token_counts": _docs(wordpiece.op7),
