@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semdex.llm import crf_toxicity, hilbert_sharding, mixing, packing, pu_quality, quality_rules, simhash, wordpiece
+from semdex.llm import crf_toxicity, hilbert_sharding, mixing, mtree, packing, pu_quality, quality_rules, simhash, wordpiece
 from semdex.llm.common import table
 
 
@@ -28,8 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_counts": _docs(wordpiece.op7),
         "op8_power_of_two_packing": _docs(packing.op8),
         "op9_sainte_lague_mixing": _docs(mixing.op9),
+        "op10_mtree_top_k": lambda spark, sf_dir: mtree.op10(table(spark, sf_dir, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.oracle()}
+    return {"op5_quality_rules": quality_rules.oracle(), "op10_mtree_top_k": mtree.ORACLE}
