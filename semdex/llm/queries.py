@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semdex.llm import crf_toxicity, hilbert_sharding, mixing, mtree, packing, pu_quality, quality_rules, simhash, wordpiece
+from semdex.llm import crf_toxicity, hilbert_sharding, mixing, mtree, packing, pu_quality, quality_rules, simhash, suffix_dedup, wordpiece
 from semdex.llm.common import table
 
 
@@ -21,6 +21,7 @@ def _labelled(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pu_quality": _labelled(pu_quality.op1),
+        "op2_suffix_array_dedup": _docs(suffix_dedup.op2),
         "op3_hilbert_sharding": _docs(hilbert_sharding.hilbert_shards),
         "op4_crf_toxicity": _labelled(crf_toxicity.op4),
         "op5_quality_rules": _docs(quality_rules.op5),
