@@ -88,19 +88,19 @@ def packed(docs: DataFrame, json_path: str, ranks_path: str | None = None, max_l
                     crcs.append(zlib.crc32(raw[4 * at : 4 * (at + n)]))
                     totals.append(len(tokens))
                     if with_ids:
-                        ids.append(tokens[at : at + n].astype(np.int64))
+                        ids.append(tokens[at : at + n].astype(np.int32))
                     at += n
             sequences = range(following, following + len(docs_))
             following += len(docs_)
             columns = [pa.array(docs_, pa.string()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals, sequences))]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"]
             if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int64())))
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType
-    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long" + ", ids array<long>" * with_ids
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long" + ", ids array<int>" * with_ids
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, schema)
     bucket = F.log2("length").cast("int")
     return out.withColumns({"doc_id": F.col("doc_id").cast(kind), "offset": F.lit(0).cast("long"), "bucket": bucket})

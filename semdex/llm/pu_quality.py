@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,17 +173,20 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unl
     return fit(positive, unlabelled)
 
 
+def model_scores(model: Model | None, texts: list[str | None]) -> np.ndarray:
+    if model is None:
+        return np.full(len(texts), 0.5)
+    parts = [model.score(np.stack([features(t) for t in texts[k : k + 1000]])) for k in range(0, len(texts), 1000)]
+    return np.concatenate([np.empty(0), *parts])
+
+
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score of every document."""
     kind = docs.schema["doc_id"].dataType
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if model is None or not len(pdf):
-                s = np.full(len(pdf), 0.5)
-            else:
-                s = np.concatenate([model.score(np.stack([features(t) for t in pdf["text"][k : k + 1000]])) for k in range(0, len(pdf), 1000)])
-            yield pdf.assign(score=s)[["doc_id", "score"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model_scores(model, pdf["text"].tolist())})
 
     cast = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cast.mapInPandas(compute, "doc_id string, score double").select(F.col("doc_id").cast(kind), "score")
@@ -197,13 +201,10 @@ def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score reaches the threshold; scoring and filtering run in one pass over the rows."""
     model = fit_on(docs, labels)
-    schema = docs.schema
+    at = docs.columns.index("text")
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if model is None or not len(pdf):
-                yield pdf
-            else:
-                yield pdf[np.array([model.score(features(t)[None])[0] >= threshold for t in pdf["text"]], bool)]
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model_scores(model, batch.column(at).to_pylist()) >= threshold))
 
-    return docs.mapInPandas(keep, schema)
+    return docs if model is None else docs.mapInArrow(keep, docs.schema)

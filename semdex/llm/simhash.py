@@ -134,5 +134,11 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One document of each component, that of its least doc_id; the rows keep the columns of docs."""
+    least = near_duplicates(docs, width).select(F.col("component_id").alias("rep_")).distinct()
+    return docs.join(least, docs["doc_id"].eqNullSafe(F.col("rep_")), "left_semi").dropDuplicates(["doc_id"])
+
+
 def op6(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from semdex.llm.common import materialize
 from semdex.llm.induced_sort import repeated
@@ -304,7 +305,8 @@ RESULT_SCHEMA = "d long, th long, n_bytes long, n_removed long, n_spans long, ke
 
 
 def finished_of(with_text: bool):
-    """Counts and hash of what is left of each document, and with_text its bytes."""
+    """Counts and hash of what is left of each document; with_text also what is left, without characters cut apart, and any
+    further columns as they are."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,22 +336,25 @@ def finished_of(with_text: bool):
             columns = [*(pa.array(x, pa.int64()) for x in (d, th, n, removed, spans)), pa.array(digest, pa.string())]
             names = ["d", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
-                columns.append(pa.array(left, pa.binary()))
+                columns.append(pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()))
                 names.append("kept")
+                for k in range(4, batch.num_columns):
+                    columns.append(batch.column(k))
+                    names.append(batch.schema.names[k])
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return emit
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, *more) -> DataFrame:
     """d: doc_id, or the largest long if null; th: 23 bits of the text's hash, which tell texts of one doc_id apart."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     th = F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1))
-    return docs.select(d.alias("d"), th.alias("th"), F.col("text").cast("string").alias("text"))
+    return docs.select(d.alias("d"), th.alias("th"), F.col("text").cast("string").alias("text"), *more)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, with_text: bool = False) -> DataFrame:
-    """d, th, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the kept bytes of every document."""
+    """d, th, n_bytes, n_removed, n_spans, kept_sha256 of every document and, with_text, the kept text and the whole row."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs)
     found = rows.mapInArrow(anchors_of(length, gram), ANCHOR_SCHEMA).repartition(n, "h").sortWithinPartitions("h", "c", "d", "at")
@@ -360,8 +365,24 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard:
     again = shards.mapInArrow(sorted_of(length, shard), INTERVAL_SCHEMA)
     intervals = settled.where("h IS NULL").select("d", "at", "ends").unionByName(again)
     own = intervals.groupBy(F.col("d").alias("wd")).agg(F.collect_set(F.struct("at", "ends")).alias("found"))
-    joined = rows.join(own.hint("shuffle_hash"), F.col("d") == F.col("wd"), "left").select("d", "th", "text", "found")
-    return joined.mapInArrow(finished_of(with_text), RESULT_SCHEMA + ", kept binary" * with_text)
+    others = [c for c in docs.columns if c != "text"]
+    whole = keyed(docs, F.struct(*others).alias("row")) if with_text else rows
+    names = ["d", "th", "text", "found"] + ["row"] * with_text
+    joined = whole.join(own.hint("shuffle_hash"), F.col("d") == F.col("wd"), "left").select(names)
+    schema = StructType.fromDDL(RESULT_SCHEMA)
+    if with_text:
+        schema = schema.add("kept", "string").add("row", joined.schema["row"].dataType)
+    return joined.mapInArrow(finished_of(with_text), schema)
+
+
+def cleaned_documents(docs: DataFrame, **options) -> DataFrame:
+    """The columns of docs with repeated strings gone from the text (n_chars follows); what loses all its text is left out.
+
+    Bytes of a character that a removal cut apart go with it.
+    """
+    done = deduplicated(docs, with_text=True, **options).where("n_removed = 0 OR kept <> ''")
+    changed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("bigint")}
+    return done.select(*[changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def doc_id_of(kind):
