@@ -1,14 +1,68 @@
-"""The corpus pipeline: registered as query `pipeline` once its stages exist."""
+"""The corpus pipeline: five stages from raw documents to packed token sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of the
+next one. All stages but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from semdex.llm import mixing, packing, pu_quality, simhash, suffix_dedup
+from semdex.llm.common import materialize, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
+    return pu_quality.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.representatives(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 100-byte strings that start earlier; documents with nothing left go."""
+    return suffix_dedup.cleaned_documents(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes; a document taken twice has two rows."""
+    return mixing.mixed_documents(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two length with their token ids."""
+    return packing.packed(docs, *packing.default_paths())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_strings),
+    ("mixing sources to target weights", mixture),
+    ("packing", packed_sequences),
+]
+
+#: No stage but the last two can be expressed in SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def queries() -> dict:
-    return {}
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{k}")
+    return docs
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"pipeline": run}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
