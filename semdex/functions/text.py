@@ -42,18 +42,16 @@ def truncate_utf8(text: Column, max_bytes: int) -> Column:
     cut = F.lit(max_bytes)
     for back in range(3, -1, -1):
         after = F.conv(F.hex(F.substring(raw, max_bytes + 1 - back, 1)), 16, 10).cast("int")
-        cut = F.when((after < 128) | (after >= 192), F.lit(max_bytes - back)).otherwise(cut) if back else F.when(
-            (after < 128) | (after >= 192), F.lit(max_bytes)
-        ).otherwise(cut)
+        cut = F.when((after < 128) | (after >= 192), F.lit(max_bytes - back)).otherwise(cut)
     short = F.octet_length(text) <= max_bytes
     return F.when(short, text).otherwise(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"))
 
 
 def human_size(n: Column) -> Column:
-    """From 1 MiB on in MB, from 1 KiB on in KB, one decimal each; else bytes."""
+    """From 1 MiB on in MB, from 1 KiB on in KB, one decimal each (halves to even); else bytes."""
     return (
-        F.when(n >= 1 << 20, F.format_string("%.1f MB", n / (1 << 20)))
-        .when(n >= 1 << 10, F.format_string("%.1f KB", n / (1 << 10)))
+        F.when(n >= 1 << 20, F.format_string("%.1f MB", F.bround(n / (1 << 20), 1)))
+        .when(n >= 1 << 10, F.format_string("%.1f KB", F.bround(n / (1 << 10), 1)))
         .otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
     )
 

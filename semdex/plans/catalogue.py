@@ -1,15 +1,598 @@
-"""Registered queries over the reference data model and their SQL."""
+"""Registered queries over the reference data model, each with the SQL it must equal where SQL can express it."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from semdex.functions.embedding import HashEmbedder
+from semdex.functions.similarity import cosine, literal, passes
+from semdex.functions.text import embedded_text, extension, human_size, token_count, tokens, truncate_utf8
+from semdex.operators import chunking, diff, rerank, routing, search, similar, stats
+from semdex.plans import views
+from semdex.sources import code, documents, html
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+AFTER = dt.datetime(2024, 1, 1, 6, tzinfo=dt.timezone.utc)
+BEFORE = dt.datetime(2024, 1, 2, tzinfo=dt.timezone.utc)
+MAX_TOKENS, OVERLAP = 40, 10
+PACK_TOKENS = 64
+
+# SQL of the views.
+IDX = "SELECT vec_id, '/corpus/l' || label || '/f' || (vec_id % 50) || '.txt' AS file_path, vec_id // 50 AS chunk_index, embedding AS vector FROM embeddings"
+DOC = "SELECT doc_id, '/corpus/' || source || '/' || lang || '/' || doc_id || '.txt' AS file_path, text, lang, source FROM documents"
+PARA = "SELECT doc_id, file_path, replace(text, chr(10), chr(10) || chr(10)) AS text, source FROM doc"
+MAN = "SELECT event_id AS vec_id, ts AS modified_at FROM events WHERE event_id % 7 <> 0"
+FILES = "SELECT file_path, max(modified_at) AS modified_at FROM idx JOIN man USING (vec_id) GROUP BY file_path"
+SCORED = "SELECT idx.*, list_cosine_similarity(vector::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s FROM idx"
+M_OLD = "SELECT file_path, doc_id * 1000 AS modified_ns FROM doc WHERE doc_id % 10 <> 0"
+M_NEW = "SELECT file_path, doc_id * 1000 + CASE WHEN doc_id % 10 = 2 THEN -5 ELSE 0 END AS modified_ns FROM doc WHERE doc_id % 10 <> 1"
+VIEWS = {"idx": IDX, "doc": DOC, "para": PARA, "man": MAN, "files": FILES, "scored": SCORED, "m_old": M_OLD, "m_new": M_NEW}
+WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
+
+
+def with_views(names: str, body: str) -> str:
+    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names.split()) + " " + body
+
+
+HIT = ("file_path", "chunk_index", "score")
+SQL_HIT = "SELECT file_path, chunk_index, round(s, 6) AS score"
+ORDER = "ORDER BY s DESC, file_path, chunk_index"
+
+
+def hits(df: DataFrame) -> DataFrame:
+    return df.select("file_path", "chunk_index", F.round("score", 6).alias("score"))
+
+
+class Catalogue:
+    def __init__(self) -> None:
+        self.queries: dict[str, Query] = {}
+        self.sql: dict[str, str] = {}
+
+    def add(self, sql: str | None = None) -> Callable[[Query], Query]:
+        def register(f: Query) -> Query:
+            self.queries[f.__name__] = f
+            if sql is not None:
+                self.sql[f.__name__] = sql
+            return f
+
+        return register
+
+
+C = Catalogue()
+T = views.table
+
+
+# --- Vector search -------------------------------------------------------------------------------------------------
+
+
+@C.add(with_views("idx scored", f"{SQL_HIT} FROM scored WHERE s >= 0.1 {ORDER} LIMIT 10"))
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    return hits(search.vector_search(views.idx(spark, d), views.query_vector(spark, d), 10, 0.1))
+
+
+@C.add(with_views("idx scored", f"{SQL_HIT} FROM scored WHERE s >= 0.25"))
+def vector_threshold(spark: SparkSession, d: str) -> DataFrame:
+    q = views.query_vector(spark, d)
+    rows = views.idx(spark, d).withColumn("score", cosine(F.col("vector"), literal(q)))
+    return hits(rows.where(passes(F.col("score"), 0.25)))
+
+
+@C.add(with_views("idx scored", f"{SQL_HIT} FROM scored WHERE s >= 0 {ORDER} LIMIT 20"))
+def vector_negative_floor(spark: SparkSession, d: str) -> DataFrame:
+    return hits(search.vector_search(views.idx(spark, d), views.query_vector(spark, d), 20, 0.0))
+
+
+def _path_query(part: str) -> Query:
+    return lambda spark, d: hits(search.vector_search(views.idx(spark, d), views.query_vector(spark, d), 15, -1.0, part))
+
+
+for _name, _part in (("path_contains", "/l3/"), ("path_wildcard", "l_/f1%.t"), ("path_quote", "it's"), ("path_backslash", "l1\\f")):
+    C.queries[_name] = _path_query(_part)
+    _literal = ("%" + _part + "%").replace("'", "''").replace("\\", "\\\\")
+    C.sql[_name] = with_views("idx scored", f"{SQL_HIT} FROM scored WHERE file_path LIKE '{_literal}' ESCAPE '\\' {ORDER} LIMIT 15")
+
+
+@C.add(
+    with_views(
+        "idx",
+        """, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id IN (0, 1, 2, 3, 4)),
+    p AS (SELECT query_id, file_path, chunk_index, list_cosine_similarity(vector::DOUBLE[], qv) AS s FROM idx CROSS JOIN q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, file_path, chunk_index) AS rank FROM p)
+    SELECT query_id, rank::INTEGER AS rank, file_path, chunk_index, round(s, 6) AS score FROM r WHERE rank <= 5""",
+    )
+)
+def batch_topk_per_query(spark: SparkSession, d: str) -> DataFrame:
+    q = T(spark, d, "embeddings").where(F.col("vec_id").isin(0, 1, 2, 3, 4)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = search.batch_search(views.idx(spark, d), q, 5)
+    return found.select("query_id", "rank", "file_path", "chunk_index", F.round("score", 6).alias("score"))
+
+
+# --- Dates ---------------------------------------------------------------------------------------------------------
+
+
+def _dated(after, before, least=-1.0, path=None, k=10) -> Query:
+    return lambda spark, d: hits(
+        search.dated_search(views.idx(spark, d), views.idx_manifest(spark, d), views.query_vector(spark, d), k, least, after, before, path)
+    )
+
+
+_TS = "TIMESTAMP '{:%Y-%m-%d %H:%M:%S}'"
+
+
+def _dated_sql(after, before, more: str = "", k: int = 10) -> str:
+    bounds = ([f"modified_at >= {_TS.format(after)}"] if after else []) + ([f"modified_at < {_TS.format(before)}"] if before else []) or ["true"]
+    return with_views("idx man files scored", f"{SQL_HIT} FROM scored JOIN files USING (file_path) WHERE {' AND '.join(bounds)} {more} {ORDER} LIMIT {k}")
+
+
+for _name, _a, _b in (("date_after", AFTER, None), ("date_before", None, BEFORE), ("date_window", AFTER, BEFORE), ("date_missing_excluded", None, None)):
+    C.queries[_name] = _dated(_a, _b)
+    C.sql[_name] = _dated_sql(_a, _b)
+C.queries["filtered_search_all"] = _dated(AFTER, BEFORE, 0.0, "/l", 12)
+C.sql["filtered_search_all"] = _dated_sql(AFTER, BEFORE, "AND s >= 0 AND file_path LIKE '%/l%'", 12)
+
+
+@C.add(
+    with_views(
+        "idx man files scored",
+        f""", f AS (SELECT * FROM scored WHERE s >= -1 {ORDER} LIMIT 100)
+    {SQL_HIT} FROM f JOIN files USING (file_path) WHERE modified_at >= {_TS.format(AFTER)} {ORDER} LIMIT 5""",
+    )
+)
+def date_overfetch_compat(spark: SparkSession, d: str) -> DataFrame:
+    return hits(search.overfetch_search(views.idx(spark, d), views.idx_manifest(spark, d), views.query_vector(spark, d), 5, -1.0, AFTER))
+
+
+@C.add(
+    """WITH a AS (SELECT unnest(['7d', '2w', '3m', '1d']) AS arg)
+    SELECT arg, TIMESTAMP '2024-06-01 12:00:00' - to_days((CASE right(arg, 1) WHEN 'd' THEN 1 WHEN 'w' THEN 7 ELSE 30 END) * left(arg, -1)::INTEGER) AS instant FROM a"""
+)
+def relative_dates(spark: SparkSession, d: str) -> DataFrame:
+    from semdex.functions.dates import parse_date
+
+    now = dt.datetime(2024, 6, 1, 12, tzinfo=dt.timezone.utc)
+    rows = [(a, parse_date(a, now)) for a in ("7d", "2w", "3m", "1d")]
+    return spark.createDataFrame(rows, "arg string, instant timestamp").withColumn("instant", F.col("instant").cast("timestamp_ntz"))
+
+
+# --- Similar files, distinct paths -----------------------------------------------------------------------------------
+
+OWN = "(SELECT file_path FROM idx WHERE vec_id = 0)"
+
+
+def _own_path(spark: SparkSession, d: str) -> str:
+    return views.idx(spark, d).where(F.col("vec_id") == 0).head()["file_path"]
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    return df.select("file_path", F.round("score", 6).alias("score"))
+
+
+@C.add(
+    with_views(
+        "idx scored",
+        f""", t AS (SELECT * FROM scored WHERE file_path <> {OWN} AND s >= 0 {ORDER} LIMIT 20)
+    SELECT file_path, round(max(s), 6) AS score FROM t GROUP BY file_path ORDER BY max(s) DESC, file_path LIMIT 10""",
+    )
+)
+def similar_files(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(similar.similar_files(views.idx(spark, d), views.query_vector(spark, d), _own_path(spark, d)))
+
+
+@C.add(
+    with_views(
+        "idx scored",
+        f""", t AS (SELECT * FROM scored WHERE s >= 0 {ORDER} LIMIT 20)
+    SELECT file_path, round(max(s), 6) AS score FROM t WHERE file_path <> {OWN} GROUP BY file_path ORDER BY max(s) DESC, file_path LIMIT 10""",
+    )
+)
+def similar_excludes_self(spark: SparkSession, d: str) -> DataFrame:
+    found = search.vector_search(views.idx(spark, d), views.query_vector(spark, d), 20, 0.0)
+    return _scores(similar.best_per_file(found, _own_path(spark, d), 10))
+
+
+@C.add(
+    with_views(
+        "idx scored",
+        f""", t AS (SELECT *, row_number() OVER ({ORDER}) AS rank FROM (SELECT * FROM scored {ORDER} LIMIT 40))
+    SELECT file_path, min(rank)::INTEGER AS first_rank FROM t GROUP BY file_path""",
+    )
+)
+def distinct_paths_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    found = search.vector_search(views.idx(spark, d), views.query_vector(spark, d), 40, -1.0)
+    placed = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "file_path", "chunk_index")))
+    return similar.distinct_paths(placed)
+
+
+# --- Rerank --------------------------------------------------------------------------------------------------------
+
+RERANK_QUERY = "the of and that with"
+_HITS = "SELECT file_path, doc_id AS chunk_index, text AS content, 1.0 / (1 + doc_id) AS s FROM doc"
+_REL = "len(list_distinct(list_intersect(['the', 'of', 'and', 'that', 'with'], " + WORDS.format("lower(content)") + "))) / 5.0"
+
+
+def _doc_hits(spark: SparkSession, d: str) -> DataFrame:
+    return views.doc(spark, d).select("file_path", F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"), (1.0 / (1 + F.col("doc_id"))).alias("score"))
+
+
+def _reranked(df: DataFrame) -> DataFrame:
+    return df.select("file_path", "chunk_index", F.round("relevance", 6).alias("relevance"))
+
+
+def _rerank_sql(cap: int, k: int) -> str:
+    return with_views(
+        "doc",
+        f""", h AS ({_HITS}), c AS (SELECT * FROM h {ORDER} LIMIT {cap}), r AS (SELECT *, {_REL} AS rel FROM c)
+    SELECT file_path, chunk_index, round(rel, 6) AS relevance FROM r ORDER BY rel DESC, s DESC, file_path, chunk_index LIMIT {k}""",
+    )
+
+
+@C.add(_rerank_sql(50, 10))
+def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
+    return _reranked(rerank.rerank_lexical(_doc_hits(spark, d), F.lit(RERANK_QUERY), 10))
+
+
+@C.add(_rerank_sql(30, 30))
+def rerank_cap(spark: SparkSession, d: str) -> DataFrame:
+    return _reranked(rerank.rerank_lexical(_doc_hits(spark, d), F.lit(RERANK_QUERY), 30, top_n=5))
+
+
+class _Shifted:
+    """Answers with one place beyond the candidates."""
+
+    def rerank(self, query: str, docs: list[str]) -> list[tuple[int, float]]:
+        return [(k + 1, float(k)) for k in range(len(docs))]
+
+
+@C.add(
+    with_views(
+        "doc",
+        f""", h AS ({_HITS}), c AS (SELECT *, row_number() OVER ({ORDER}) - 1 AS pos FROM (SELECT * FROM h {ORDER} LIMIT 8))
+    SELECT file_path, chunk_index, (pos - 1)::DOUBLE AS score FROM c WHERE pos >= 1 ORDER BY pos DESC LIMIT 5""",
+    )
+)
+def rerank_drop_missing(spark: SparkSession, d: str) -> DataFrame:
+    found, _, _ = rerank.apply_rerank(_doc_hits(spark, d), RERANK_QUERY, 5, _Shifted(), top_n=8)
+    return found.select("file_path", "chunk_index", "score")
+
+
+# --- Statistics and maintenance ------------------------------------------------------------------------------------
+
+
+@C.add(
+    with_views(
+        "idx man files",
+        """SELECT (SELECT count(*) FROM files) AS file_count, (SELECT count(*) FROM idx) AS chunk_count,
+    (SELECT count(*) FROM idx) * 256 AS estimated_tokens, (SELECT max(modified_at) FROM files) AS last_indexed""",
+    )
+)
+def stats_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.stats(views.idx(spark, d), views.idx_manifest(spark, d)).withColumn("last_indexed", F.col("last_indexed").cast("timestamp_ntz"))
+
+
+@C.add(with_views("doc", "SELECT source AS \"index\", count(*) AS files FROM doc GROUP BY source"))
+def list_indexes(spark: SparkSession, d: str) -> DataFrame:
+    return stats.files_by_index(views.doc(spark, d).withColumn("index", F.col("source")))
+
+
+def _diff(status: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return diff.classify(views.manifest_new(spark, d), views.manifest_old(spark, d)).where(F.col("status") == status)
+
+    return run
+
+
+_DIFF_SQL = with_views(
+    "doc m_old m_new",
+    """, c AS (SELECT coalesce(n.file_path, o.file_path) AS file_path, CASE WHEN o.file_path IS NULL THEN 'new' WHEN n.file_path IS NULL THEN 'deleted'
+    WHEN n.modified_ns = o.modified_ns THEN 'unchanged' ELSE 'modified' END AS status FROM m_new n FULL JOIN m_old o ON n.file_path = o.file_path)
+    SELECT file_path, status FROM c""",
+)
+for _status in ("new", "modified", "deleted", "unchanged"):
+    C.queries[f"manifest_diff_{_status}"] = _diff(_status)
+    C.sql[f"manifest_diff_{_status}"] = f"{_DIFF_SQL} WHERE status = '{_status}'"
+
+
+@C.add(
+    f"""WITH d AS ({_DIFF_SQL}), doc2 AS ({DOC}),
+    kept AS (SELECT file_path, doc_id AS version FROM doc2 WHERE doc_id % 10 <> 0 AND file_path NOT IN (SELECT file_path FROM d WHERE status IN ('modified', 'deleted'))),
+    added AS (SELECT file_path, -doc_id AS version FROM doc2 WHERE file_path IN (SELECT file_path FROM d WHERE status IN ('new', 'modified')))
+    SELECT * FROM kept UNION ALL SELECT * FROM added"""
+)
+def snapshot_apply_delta(spark: SparkSession, d: str) -> DataFrame:
+    state = diff.classify(views.manifest_new(spark, d), views.manifest_old(spark, d))
+    docs = views.doc(spark, d)
+    old = docs.where(F.col("doc_id") % 10 != 0).select("file_path", F.col("doc_id").alias("version"))
+    added = docs.join(state.where(F.col("status").isin("new", "modified")), "file_path", "left_semi").select("file_path", (-F.col("doc_id")).alias("version"))
+    return diff.apply_delta(old, state.where(F.col("status").isin("modified", "deleted")), added)
+
+
+@C.add(with_views("doc", "SELECT count(DISTINCT file_path) AS refreshed FROM doc WHERE doc_id % 3 = 0"))
+def refreshed_files(spark: SparkSession, d: str) -> DataFrame:
+    return stats.refreshed_files(views.doc(spark, d).where(F.col("doc_id") % 3 == 0))
+
+
+# --- Routing -------------------------------------------------------------------------------------------------------
+
+_SAMPLE_EXT = [*routing.CODE, *routing.MARKDOWN, *routing.PROSE, "png", "RS", "Md", "PDF"]
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    ext = F.element_at(F.array(*[F.lit(e) for e in _SAMPLE_EXT]), (F.col("doc_id") % len(_SAMPLE_EXT)).cast("int") + 1)
+    return T(spark, d, "documents").select("doc_id", F.concat(F.lit("/a.b/f"), F.col("doc_id"), F.lit("."), ext).alias("path"))
+
+
+_PATHS_SQL = (
+    "p AS (SELECT doc_id, '/a.b/f' || doc_id || '.' || [" + ", ".join(f"'{e}'" for e in _SAMPLE_EXT) + f"][(doc_id % {len(_SAMPLE_EXT)}) + 1] AS path FROM documents), "
+    "x AS (SELECT *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM p)"
+)
+_IN = lambda names: "ext IN (" + ", ".join(f"'{e}'" for e in names) + ")"
+
+
+@C.add(
+    f"WITH {_PATHS_SQL} SELECT doc_id, ext, CASE WHEN {_IN(routing.CODE)} THEN 'code' WHEN {_IN(routing.MARKDOWN)} THEN 'markdown' WHEN {_IN(routing.PROSE)} THEN 'prose' ELSE 'unknown' END AS file_type FROM x"
+)
+def file_type_route(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d).select("doc_id", extension(F.col("path")).alias("ext"), routing.file_type(F.col("path")).alias("file_type"))
+
+
+@C.add(
+    f"WITH {_PATHS_SQL} SELECT doc_id, CASE ext "
+    + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in routing.LANGUAGES.items())
+    + " END AS language FROM x"
+)
+def language_route(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d).select("doc_id", routing.language(F.col("path")).alias("language"))
+
+
+@C.add(f"WITH {_PATHS_SQL} SELECT doc_id, {_IN(routing.EXTRACTABLE)} AS extractable FROM x")
+def extractable(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d).select("doc_id", routing.is_extractable(F.col("path")).alias("extractable"))
+
+
+# --- Chunking ------------------------------------------------------------------------------------------------------
+
+_TRIMMED = "list_filter(list_transform({}, lambda s: trim(s, E' \\n\\t\\r')), lambda s: s <> '')"
+
+
+def _split(df: DataFrame, parts) -> DataFrame:
+    return df.select("doc_id", F.posexplode(parts(F.col("text"))).alias("pos", "segment"))
+
+
+def _split_sql(view: str, parts: str) -> str:
+    return with_views(
+        "doc para" if view == "para" else "doc",
+        f", s AS (SELECT doc_id, {parts} AS a FROM {view}) SELECT doc_id, (generate_subscripts(a, 1) - 1)::INTEGER AS pos, unnest(a) AS segment FROM s",
+    )
+
+
+@C.add(_split_sql("para", _TRIMMED.format("string_split(text, chr(10) || chr(10))")))
+def split_prose(spark: SparkSession, d: str) -> DataFrame:
+    return _split(views.para(spark, d), chunking.split_prose)
+
+
+@C.add(_split_sql("para", _TRIMMED.format("string_split(text, chr(10) || chr(10))")))
+def split_code(spark: SparkSession, d: str) -> DataFrame:
+    return _split(views.para(spark, d), chunking.split_code)
+
+
+@C.add(
+    with_views(
+        "doc para",
+        f""", h AS (SELECT doc_id, replace(replace(text, 'e', chr(10) || '#'), chr(10) || '#', chr(1) || '#') AS t FROM para),
+    s AS (SELECT doc_id, {_TRIMMED.format("regexp_split_to_array(t, chr(1) || '|' || chr(10) || chr(10))")} AS a FROM h)
+    SELECT doc_id, (generate_subscripts(a, 1) - 1)::INTEGER AS pos, unnest(a) AS segment FROM s""",
+    )
+)
+def split_markdown(spark: SparkSession, d: str) -> DataFrame:
+    headed = views.para(spark, d).withColumn("text", F.replace(F.col("text"), F.lit("e"), F.lit("\n#")))
+    return _split(headed, chunking.split_markdown)
+
+
+_WIN = f"CASE WHEN len(w) <= {MAX_TOKENS} THEN 1 ELSE ceil((len(w) - {MAX_TOKENS}) / {MAX_TOKENS - OVERLAP})::INTEGER + 1 END"
+
+
+@C.add(
+    with_views(
+        "doc",
+        f""", t AS (SELECT doc_id, {WORDS.format("text")} AS w FROM doc), k AS (SELECT doc_id, w, unnest(range(0, {_WIN})) AS k FROM t)
+    SELECT doc_id, k::INTEGER AS pos, array_to_string(w[k * {MAX_TOKENS - OVERLAP} + 1 : k * {MAX_TOKENS - OVERLAP} + {MAX_TOKENS}], ' ') AS content FROM k""",
+    )
+)
+def token_window(spark: SparkSession, d: str) -> DataFrame:
+    toks = tokens(F.col("text"))
+    rows = views.doc(spark, d).select("doc_id", F.posexplode(chunking.windows(toks, MAX_TOKENS, OVERLAP)).alias("pos", "w"))
+    return rows.select("doc_id", "pos", F.array_join("w", " ").alias("content"))
+
+
+def _pack_sql(max_tokens: int, overlap: int) -> str:
+    """Segments in order; a state of (group, tokens so far) by recursion over the segment's place."""
+    step = max_tokens - overlap
+    return with_views(
+        "doc para",
+        f""", a AS (SELECT doc_id, {_TRIMMED.format("string_split(text, chr(10) || chr(10))")} AS segs FROM para),
+    s AS (SELECT doc_id, unnest(segs) AS seg, generate_subscripts(segs, 1) AS i FROM a),
+    n AS (SELECT *, {WORDS.format("seg")} AS w, len({WORDS.format("seg")}) AS n FROM s),
+    g(doc_id, i, grp, held) AS (
+      SELECT doc_id, i, 1, CASE WHEN n > {max_tokens} THEN 0 ELSE n END FROM n WHERE i = 1
+      UNION ALL
+      SELECT n.doc_id, n.i, CASE WHEN n.n > {max_tokens} OR g.held = 0 OR g.held + n.n > {max_tokens} THEN g.grp + 1 ELSE g.grp END,
+             CASE WHEN n.n > {max_tokens} THEN 0 WHEN g.held = 0 OR g.held + n.n > {max_tokens} THEN n.n ELSE g.held + n.n + 2 END
+      FROM g JOIN n ON n.doc_id = g.doc_id AND n.i = g.i + 1
+    ),
+    joined AS (
+      SELECT doc_id, grp, 0 AS k, string_agg(seg, chr(10) || chr(10) ORDER BY i) AS content, (sum(n) + 2 * (count(*) - 1))::BIGINT AS token_count
+      FROM n JOIN g USING (doc_id, i) WHERE n <= {max_tokens} GROUP BY doc_id, grp
+    ),
+    big AS (SELECT doc_id, grp, w, unnest(range(0, ceil((n - {max_tokens}) / {step})::INTEGER + 1)) AS k FROM n JOIN g USING (doc_id, i) WHERE n > {max_tokens}),
+    cut AS (SELECT doc_id, grp, k, array_to_string(w[k * {step} + 1 : k * {step} + {max_tokens}], ' ') AS content, len(w[k * {step} + 1 : k * {step} + {max_tokens}])::BIGINT AS token_count FROM big),
+    u AS (SELECT * FROM joined UNION ALL SELECT * FROM cut)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY grp, k) - 1)::BIGINT AS chunk_index, content, token_count FROM u""",
+    ).replace("WITH doc", "WITH RECURSIVE doc", 1)
+
+
+def _packed(max_tokens: int, overlap: int) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        from semdex.config import Chunking
+
+        files = views.para(spark, d)
+        out = chunking.chunked(files, Chunking(max_chunk_tokens=max_tokens, overlap_tokens=overlap))
+        return out.select(F.regexp_extract("file_path", r"(\d+)\.txt$", 1).cast("bigint").alias("doc_id"), "chunk_index", "content", "token_count")
+
+    return run
+
+
+for _name, _n, _o in (("greedy_pack", PACK_TOKENS, OVERLAP), ("pack_oversize", 12, 3), ("pack_default", 512, 50)):
+    C.queries[_name] = _packed(_n, _o)
+    C.sql[_name] = _pack_sql(_n, _o)
+
+
+@C.add(with_views("doc", f"SELECT doc_id, len({WORDS.format('text')})::BIGINT AS token_count FROM doc"))
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return views.doc(spark, d).select("doc_id", token_count(F.col("text")).alias("token_count"))
+
+
+@C.add(f"WITH c AS ({C.sql['greedy_pack']}) SELECT doc_id, count(*) AS chunks, max(chunk_index) + 1 AS last FROM c GROUP BY doc_id")
+def chunk_index_seq(spark: SparkSession, d: str) -> DataFrame:
+    return C.queries["greedy_pack"](spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), (F.max("chunk_index") + 1).alias("last"))
+
+
+# --- Embedding -----------------------------------------------------------------------------------------------------
+
+DIM = 64
+_BUCKETS = f"list_transform({WORDS.format('lower({})')}, lambda t: (('0x' || substr(md5(t), 1, 8))::BIGINT % {DIM})::INTEGER)"
+
+
+def _vector_sql(text: str) -> str:
+    return f"list_transform(range(0, {DIM}), lambda b: len(list_filter({_BUCKETS.format(text)}, lambda x: x = b))::DOUBLE)"
+
+
+@C.add(with_views("doc", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || chr(10) || text ELSE text END AS embedded FROM doc"))
+def embed_text_projection(spark: SparkSession, d: str) -> DataFrame:
+    context = F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.lit(""))
+    return views.doc(spark, d).select("doc_id", embedded_text(context, F.col("text")).alias("embedded"))
+
+
+@C.add(
+    with_views(
+        "doc",
+        f""", b AS (SELECT doc_id, unnest({_BUCKETS.format("text")}) AS bucket FROM doc)
+    SELECT doc_id, bucket, count(*)::DOUBLE AS n FROM b GROUP BY doc_id, bucket""",
+    )
+)
+def hash_embed(spark: SparkSession, d: str) -> DataFrame:
+    rows = HashEmbedder(DIM).column(views.doc(spark, d), F.col("text"), "v").select("doc_id", F.posexplode("v").alias("bucket", "n"))
+    return rows.where("n > 0").withColumn("n", F.col("n").cast("double"))
+
+
+@C.add(
+    with_views(
+        "doc",
+        f""", v AS (SELECT doc_id, {_vector_sql("text")} AS v FROM doc), q AS (SELECT {_vector_sql("'" + RERANK_QUERY + "'")} AS qv)
+    SELECT doc_id, round(list_cosine_similarity(v, qv), 6) AS score FROM v CROSS JOIN q ORDER BY list_cosine_similarity(v, qv) DESC, doc_id LIMIT 10""",
+    )
+)
+def hash_search(spark: SparkSession, d: str) -> DataFrame:
+    embedder = HashEmbedder(DIM)
+    docs = embedder.column(views.doc(spark, d), F.col("text"), "vector").withColumn("chunk_index", F.lit(0))
+    q = embedder.one(spark, RERANK_QUERY)
+    scored = docs.withColumn("score", cosine(F.col("vector"), literal(q)))
+    return scored.where(passes(F.col("score"), -1.0)).orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@C.add(
+    f"""WITH v AS (SELECT doc_id, {_vector_sql("text")} AS v FROM documents), q AS (SELECT item_id, {_vector_sql("text")} AS qv FROM benchmark),
+    s AS (SELECT item_id, doc_id, list_cosine_similarity(v, qv) AS s FROM v CROSS JOIN q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM s)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, round(s, 6) AS score FROM r WHERE rank <= 3"""
+)
+def hash_search_benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
+    embedder = HashEmbedder(DIM)
+    docs = embedder.column(T(spark, d, "documents"), F.col("text"), "vector").select("doc_id", "vector")
+    asked = embedder.column(T(spark, d, "benchmark"), F.col("text"), "query_vector").select("item_id", "query_vector")
+    pairs = docs.join(asked, F.lit(True)).withColumn("score", cosine(F.col("vector"), F.col("query_vector")))
+    order = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    best = pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    return best.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+# --- Strings and results -------------------------------------------------------------------------------------------
+
+
+@C.add(
+    with_views(
+        "doc",
+        """, c AS (SELECT doc_id, text, (SELECT max(k) FROM unnest(range(0, length(text) + 1)) AS t(k)
+      WHERE octet_length(encode(left(text, k::INTEGER))) <= 100) AS k FROM (SELECT doc_id, left(text, 120) AS text FROM doc))
+    SELECT doc_id, left(text, k::INTEGER) AS head FROM c""",
+    )
+)
+def utf8_truncate(spark: SparkSession, d: str) -> DataFrame:
+    return views.doc(spark, d).select("doc_id", truncate_utf8(F.col("text"), 100).alias("head"))
+
+
+@C.add(
+    """WITH s AS (SELECT doc_id, octet_length(encode(text))::BIGINT * (doc_id % 5) * (doc_id % 7) AS n FROM documents)
+    SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024) ELSE n || ' bytes' END AS size FROM s"""
+)
+def human_sizes(spark: SparkSession, d: str) -> DataFrame:
+    n = F.octet_length("text").cast("bigint") * (F.col("doc_id") % 5) * (F.col("doc_id") % 7)
+    return T(spark, d, "documents").select("doc_id", human_size(n).alias("size"))
+
+
+@C.add()
+def result_json(spark: SparkSession, d: str) -> DataFrame:
+    found = search.vector_search(views.idx(spark, d), views.query_vector(spark, d), 10, -1.0)
+    return search.result_rows(found.drop("vector")).select(F.to_json(F.struct("*")).alias("result"))
+
+
+# --- Extraction ----------------------------------------------------------------------------------------------------
+
+
+@C.add()
+def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return T(spark, d, "pages").select("page_id", html.markdown(F.col("html")).alias("markdown"))
+
+
+@C.add()
+def html_readable(spark: SparkSession, d: str) -> DataFrame:
+    return T(spark, d, "pages").select("page_id", html.extracted(F.col("html")).alias("text"))
+
+
+@C.add(
+    """WITH b AS (SELECT page_id, repeat('x', (page_id % 40 * 10)::INTEGER) AS body, repeat('y', (page_id * 37 % 9000)::INTEGER) AS whole FROM pages)
+    SELECT page_id, octet_length(encode(body)) >= 200 AND octet_length(encode(body)) * 20 >= octet_length(encode(whole)) AS wins FROM b"""
+)
+def html_gate(spark: SparkSession, d: str) -> DataFrame:
+    body = F.repeat(F.lit("x"), (F.col("page_id") % 40 * 10).cast("int"))
+    whole = F.repeat(F.lit("y"), (F.col("page_id") * 37 % 9000).cast("int"))
+    return T(spark, d, "pages").select("page_id", html.readable_wins(body, whole).alias("wins"))
+
+
+@C.add()
+def docx_extract(spark: SparkSession, d: str) -> DataFrame:
+    return documents.docx_round_trip(T(spark, d, "documents"))
+
+
+@C.add()
+def pdf_extract(spark: SparkSession, d: str) -> DataFrame:
+    return documents.pdf_round_trip(T(spark, d, "documents"))
+
+
+@C.add()
+def code_chunks_python(spark: SparkSession, d: str) -> DataFrame:
+    body = F.concat(F.lit("# about\n@wrapped\ndef f"), F.col("doc_id"), F.lit("(a):\n    return a\n\nclass C"), F.col("doc_id"), F.lit(":\n    def m(self):\n        return 1\n"))
+    files = T(spark, d, "documents").select(F.concat(F.lit("/p/"), F.col("doc_id"), F.lit(".py")).alias("file_path"), body.alias("text"))
+    return code.code_chunks(files)
+
+
+def queries() -> dict[str, Query]:
+    return dict(C.queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(C.sql)

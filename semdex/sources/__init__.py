@@ -1 +1 @@
-
+"""Sources: crawling, and text extraction from documents."""
