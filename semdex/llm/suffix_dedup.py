@@ -12,7 +12,7 @@ the same document further ahead), judged on the input.
    suffix tuples with common-prefix values, see induced_sort) finds each window's earliest equal.
 
 Only ambiguous contexts are suffix-sorted; README has the figures that make sorting all suffixes impossible within the limits.
-Copies found within a task's batch are settled there and leave one row for the shuffle, so a passage that a third of all
+Copies found within about GROUP bytes of a task's rows are settled there and leave one row for the shuffle, so a passage that a third of all
 documents hold does not gather in one task; documents and their intervals meet by a shuffle on doc_id.
 
 Defined cases: null text is empty; a null doc_id counts as larger than any other; rows equal in doc_id and text are one
@@ -36,7 +36,8 @@ from semdex.llm.induced_sort import repeated
 
 LENGTH = 100
 GRAM = 32
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
+GROUP = 4 << 20
 SHARD = 2 << 20
 LAST = (1 << 63) - 1
 
@@ -145,8 +146,17 @@ def anchors_of(length: int, gram: int):
     """Rows of contexts: anchor and context hash, document, text hash and start, last start. Copies within a batch of rows
     are settled here: all but the earliest become intervals (ends < 0: minus the end), dealt by a hash of their place."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            size, begin = 0, 0
+            for k, t in enumerate(batch.column(2)):
+                size += len(t.as_py() or "")
+                if size >= GROUP or k == batch.num_rows - 1:
+                    yield batch.slice(begin, k + 1 - begin)
+                    size, begin = 0, k + 1
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches):
             d = batch.column(0).to_numpy(zero_copy_only=False)
             th = batch.column(1).to_numpy(zero_copy_only=False)
             raw = [(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
