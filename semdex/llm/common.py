@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,13 @@ def scaled_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sliced(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Arrow batches or pandas frames in parts of at most so many rows, so that Python objects of a few are alive at once."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.iloc[k : k + rows] if hasattr(batch, "iloc") else batch.slice(k, rows)
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null, empty or blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")

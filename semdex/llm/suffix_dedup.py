@@ -8,8 +8,10 @@ the same document further ahead), judged on the input.
    neighbouring starts mostly share their anchor. A run of windows with one anchor, and the bytes they cover, is a context.
 2. Contexts are shuffled by anchor. One whose anchor occurs nowhere else repeats nothing. One equal to an earlier context, in
    full, repeats in full. Otherwise, different contexts share an anchor: these are ambiguous, and one of each is kept.
-3. The texts of the ambiguous contexts form shards by anchor. Induced suffix sorting of a shard (disk-backed queues of
-   suffix tuples with common-prefix values, see induced_sort) finds each window's earliest equal.
+3. An ambiguous context's windows fall into two classes, with the anchor in their first or second half. Equal windows are of
+   one class and share its core, 66 bytes to the right or left of the anchor's begin or end. The texts of each class form
+   shards by core, so a short line that very many documents hold spreads over shards. Induced suffix sorting of a shard
+   (disk-backed queues of suffix tuples with common-prefix values, see induced_sort) finds each window's earliest equal.
 
 Only ambiguous contexts are suffix-sorted; README has the figures that make sorting all suffixes impossible within the limits.
 Copies found within about GROUP bytes of a task's rows are settled there and leave one row for the shuffle, so a passage that a third of all
@@ -27,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from semdex.llm.common import materialize
+from semdex.llm.common import materialize, sliced
 from semdex.llm.induced_sort import repeated
 
 LENGTH = 100
@@ -79,12 +82,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def contexts(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """For each run of windows with one anchor: text index, first start, last start, anchor hash, context hash."""
+    """For each run of windows with one anchor: text index, first start, last start, the anchor's distance from the first
+    start, anchor hash, context hash."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data)
     if n < length:
-        return tuple(np.empty(0, np.int64) for _ in range(3)) + (np.empty(0, U),) * 2
+        return tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, U),) * 2
     rolling = Rolling(data)
     h = rolling.grams(gram)
     key = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U)
@@ -102,13 +106,13 @@ def contexts(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     np.subtract.at(edge, ends[long_] - length + 1, 1)
     p = np.flatnonzero(np.cumsum(edge)[:count] > 0)
     if not len(p):
-        return tuple(np.empty(0, np.int64) for _ in range(3)) + (np.empty(0, U),) * 2
+        return tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, U),) * 2
     anchor = (least[p] & U(0xFFFFFFFF)).astype(np.int64)
     turn = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(p) != 1)]))
     lo, hi, at = p[turn], p[np.append(turn[1:] - 1, len(p) - 1)], anchor[turn]
     doc = np.searchsorted(ends, lo, "right")
     context = mixed(rolling.of(lo, hi + length) + (at - lo).astype(U) * U(0xA24BAED4963EE407))
-    return doc, lo - starts[doc], hi - starts[doc], h[at], context
+    return doc, lo - starts[doc], hi - starts[doc], at - lo, h[at], context
 
 
 def segmented(raw: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -143,8 +147,9 @@ ANCHOR_SCHEMA = "h long, c long, d long, at long, ends long"
 
 
 def anchors_of(length: int, gram: int):
-    """Rows of contexts: anchor and context hash, document, text hash and start, last start. Copies within a batch of rows
-    are settled here: all but the earliest become intervals (ends < 0: minus the end), dealt by a hash of their place."""
+    """Rows of contexts: anchor and context hash, document, text hash and start, and last start plus one with the anchor's
+    distance in the lowest seven bits. Copies within a group of rows are settled here: all but the earliest become intervals
+    (ends < 0: minus the end), dealt by a hash of their place."""
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,12 +167,12 @@ def anchors_of(length: int, gram: int):
             raw = [(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
             parts = []
             for ids, offsets, pieces in segmented(raw, length):
-                doc, lo, hi, h, c = contexts(pieces, length, gram)
+                doc, lo, hi, away, h, c = contexts(pieces, length, gram)
                 own, off = np.array(ids, np.int64)[doc], np.array(offsets, np.int64)[doc]
-                parts.append((own, lo + off, hi + off, h, c))
+                parts.append((own, lo + off, hi + off, away, h, c))
             if not parts:
                 continue
-            own, lo, hi, h, c = (np.concatenate(x) for x in zip(*parts))
+            own, lo, hi, away, h, c = (np.concatenate(x) for x in zip(*parts))
             h, c = h.view(np.int64), c.view(np.int64)
             dd, at = d[own], (th[own] << 40) | lo
             order = np.lexsort((at, dd, c, h))
@@ -178,7 +183,7 @@ def anchors_of(length: int, gram: int):
             place = order[first]
             again &= (dd[order] != dd[place]) | (at[order] != at[place])
             drop, keep = order[again], np.sort(order[~again])
-            columns = [h[keep], c[keep], dd[keep], at[keep], hi[keep] + 1]
+            columns = [h[keep], c[keep], dd[keep], at[keep], (hi[keep] + 1) << 7 | away[keep]]
             if len(drop):
                 k, a, b = runs(own[drop], lo[drop], hi[drop] + length)
                 spread = mixed(d[k].astype(U) * U(BASE) + a.astype(U)).view(np.int64)
@@ -222,13 +227,11 @@ def settled_of(length: int):
                     other[0] = False  # it has gone out, or repeats nothing new
                 waiting = not other[-1] and (len(heads) > 1 or held or not seen)
                 chosen = heads[other]
-                lo = at & ((1 << 40) - 1)
                 out_d += [d[again], d[chosen]]
                 out_at += [at[again], at[chosen]]
-                out_end += [ends[again] - 1 + length, ends[chosen]]
+                out_end += [(ends[again] >> 7) - 1 + length, ends[chosen]]
                 out_h += [h[again], h[chosen]]
                 null += [np.ones(int(again.sum()), bool), np.zeros(len(chosen), bool)]
-                del lo
                 k = int(heads[-1])
                 last, held = (h[k], c[k], d[k], at[k], ends[k]), bool(waiting)
             arrays = [np.concatenate(x) for x in (out_d, out_at, out_end, out_h)]
@@ -243,18 +246,28 @@ def settled_of(length: int):
 CUT_SCHEMA = "h long, d long, at long, ends long, bytes binary"
 
 
-def cut_of(length: int):
-    """The bytes of a document's ambiguous contexts."""
+def cut_of(length: int, gram: int):
+    """The bytes of a document's ambiguous contexts by class, with the hash of the class's core."""
+    half = (length - gram) // 2
+
+    def pieces(raw: bytes, at: int, ends: int) -> Iterator[tuple[int, int, bytes]]:
+        lo, hi = at & ((1 << 40) - 1), (ends >> 7) - 1
+        anchor = lo + (ends & 127)
+        if lo <= (last := min(hi, anchor - half)):
+            yield lo, last, b"<" + raw[anchor - half : anchor + gram]
+        if (first := max(lo, anchor - half + 1)) <= hi:
+            yield first, hi, b">" + raw[anchor : anchor + length - half]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for d, th, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
                 raw = text.as_py() or b""
                 for w in wanted.as_py():
                     if w["at"] >> 40 == th:
-                        lo = w["at"] & ((1 << 40) - 1)
-                        rows.append((w["h"], d, w["at"], w["ends"], raw[lo : w["ends"] - 1 + length]))
+                        for a, b, core in pieces(raw, w["at"], w["ends"]):
+                            key = xxhash.xxh64_intdigest(core) - (1 << 63)
+                            rows.append((key, d, (th << 40) | a, b + 1, raw[a : b + length]))
             names = ["h", "d", "at", "ends", "bytes"]
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=names)
@@ -266,8 +279,9 @@ INTERVAL_SCHEMA = "d long, at long, ends long"
 
 
 def sorted_of(length: int, shard: int = SHARD, limit: int = 1 << 24, base: int = 1 << 22):
-    """Intervals that repeat among contexts sorted by (h, d, at): whole anchors gather up to about ``shard`` bytes, whose
-    text is suffix-sorted. An anchor's contexts lie in document order, so the earliest equal window is the least position."""
+    """Intervals that repeat among texts sorted by (core, d, at): whole cores gather up to about ``shard`` bytes, whose text
+    is suffix-sorted. A core's texts lie in document order, so the earliest equal window is the least position. A text equal
+    to an earlier one of its core repeats in full."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         texts = [r[3] for r in rows]
@@ -294,17 +308,31 @@ def sorted_of(length: int, shard: int = SHARD, limit: int = 1 << 24, base: int =
         )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, anchor = 0, None
+        rows: list[tuple] = []  # of closed cores with more than one text, and of the open core from `begin` on
+        known: set[bytes] = set()
+        size, core, begin = 0, None, 0
+        again: list[tuple[int, int, int]] = []
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(5)]
             for h, d, at, ends, raw in zip(*columns):
-                if h != anchor and size >= shard:
-                    yield solve(rows)
-                    rows, size = [], 0
-                anchor = h
-                rows.append((d, at, ends, raw))
-                size += len(raw) + 1
+                if h != core:
+                    if len(rows) - begin == 1:
+                        size -= len(rows.pop()[3]) + 1  # a core of one text repeats nothing
+                    if size >= shard:
+                        yield solve(rows)
+                        rows, size = [], 0
+                    known, core, begin = set(), h, len(rows)
+                if raw in known:
+                    again.append((d, at, ends - 1 + length))
+                else:
+                    known.add(raw)
+                    rows.append((d, at, ends, raw))
+                    size += len(raw) + 1
+            if again:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in again], pa.int64()) for k in range(3)], names=["d", "at", "ends"])
+                again = []
+        if len(rows) - begin == 1:
+            rows.pop()
         if rows:
             yield solve(rows)
 
@@ -319,7 +347,7 @@ def finished_of(with_text: bool):
     further columns as they are."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             d, th, n, removed, spans, digest, left = [], [], [], [], [], [], []
             for dk, tk, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
                 raw = text.as_py() or b""
@@ -370,7 +398,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard:
     found = rows.mapInArrow(anchors_of(length, gram), ANCHOR_SCHEMA).repartition(n, "h").sortWithinPartitions("h", "c", "d", "at")
     settled = materialize(found.mapInArrow(settled_of(length), SETTLED_SCHEMA), "contexts")
     wanted = settled.where("h IS NOT NULL").groupBy(F.col("d").alias("wd")).agg(F.collect_list(F.struct("h", "at", "ends")).alias("wanted"))
-    cut = rows.join(wanted.hint("shuffle_hash"), F.col("d") == F.col("wd")).select("d", "th", "text", "wanted").mapInArrow(cut_of(length), CUT_SCHEMA)
+    cut = rows.join(wanted.hint("shuffle_hash"), F.col("d") == F.col("wd")).select("d", "th", "text", "wanted").mapInArrow(cut_of(length, gram), CUT_SCHEMA)
     shards = cut.repartition(n, "h").sortWithinPartitions("h", "d", "at")
     again = shards.mapInArrow(sorted_of(length, shard), INTERVAL_SCHEMA)
     intervals = settled.where("h IS NULL").select("d", "at", "ends").unionByName(again)
