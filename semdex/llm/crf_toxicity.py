@@ -92,6 +92,8 @@ def marginals(emit: np.ndarray, first: np.ndarray, start: float, trans: np.ndarr
     """
     e, w = np.exp(np.clip(emit, -30, 30)), np.exp(trans)
     n = len(e)
+    if not n:
+        return np.empty(0), np.empty((0, 2)), np.empty((0, 2))
     forward = np.empty((n, 2, 2))
     # Row: new tag, column: previous tag.
     forward[:, 0, 0], forward[:, 0, 1], forward[:, 1, 0], forward[:, 1, 1] = w[0, 0], w[1, 0], e * w[0, 1], e * w[1, 1]
