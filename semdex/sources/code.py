@@ -206,7 +206,8 @@ def class_members(scan: Scan, low: int, high: int) -> list[Item]:
     found, k = [], low
     while k < high:
         ch = scan.text[k]
-        m = METHOD.match(scan.text, k) if not (k and re.match(r"[\w$.#]", scan.text[k - 1])) else None
+        at_word = re.match(r"[\w$*#]", ch) and not (k and re.match(r"[\w$.#]", scan.text[k - 1]))
+        m = METHOD.match(scan.text, k) if at_word else None
         if m and m["name"] not in NOT_METHODS:
             close = scan.partner[m.end() - 1]
             brace = scan.body(close + 1, high)
