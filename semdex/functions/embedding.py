@@ -13,14 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semdex.functions.binding import let
 from semdex.functions.text import tokens
 
 
-def let(value: Column, body) -> Column:
-    """Bind a value to a lambda variable."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 class Embedder(Protocol):
     name: str
 

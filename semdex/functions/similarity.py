@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from semdex.functions.binding import let
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -22,8 +24,7 @@ def norm(v: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null for a zero vector."""
-    a, b = doubles(a), doubles(b)
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
+    return let(doubles(a), lambda x: let(doubles(b), lambda y: F.try_divide(dot(x, y), norm(x) * norm(y))))
 
 
 def literal(v: Sequence[float]) -> Column:
@@ -34,8 +35,12 @@ def literal(v: Sequence[float]) -> Column:
 def cosine_to(v: Column, query: Sequence[float]) -> Column:
     """Cosine similarity to one query vector, whose norm is computed once on the driver."""
     length = sum(float(x) ** 2 for x in query) ** 0.5
-    v = doubles(v)
-    return F.try_divide(dot(v, literal(query)), norm(v) * length)
+    return let(doubles(v), lambda x: F.try_divide(dot(x, literal(query)), norm(x) * length))
+
+
+def comparable(score: Column) -> Column:
+    """The score, null where it is NaN, which Spark would rank above all numbers."""
+    return F.nanvl(score, F.lit(None).cast("double"))
 
 
 def passes(score: Column, least: float) -> Column:

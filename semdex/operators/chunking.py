@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semdex.config import Chunking
+from semdex.functions.binding import let
 from semdex.functions.text import tokens, trim_unicode
 from semdex.operators.routing import file_type
 
@@ -48,9 +49,13 @@ def windows(toks: Column, max_tokens: int, overlap: int) -> Column:
     if not 0 <= overlap < max_tokens:
         raise ValueError("overlap must be at least 0 and less than max_tokens")
     step = max_tokens - overlap
-    n = F.size(toks)
-    count = F.when(n <= max_tokens, F.lit(1)).otherwise(F.ceil((n - max_tokens) / F.lit(step)).cast("int") + 1)
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(toks, k * step + 1, max_tokens))
+
+    def cut(t: Column) -> Column:
+        n = F.size(t)
+        count = F.when(n <= max_tokens, F.lit(1)).otherwise(F.ceil((n - max_tokens) / F.lit(step)).cast("int") + 1)
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(t, k * step + 1, max_tokens))
+
+    return let(toks, cut)
 
 
 PIECE = "struct<content: string, n: int>"

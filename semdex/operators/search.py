@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semdex.functions.similarity import cosine, cosine_to, passes
+from semdex.functions.similarity import comparable, cosine, cosine_to, passes
 from semdex.functions.text import path_contains
 
 
@@ -63,13 +63,14 @@ def date_passes(mtime: Column, after: dt.datetime | None, before: dt.datetime |
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
-    return hits.orderBy(F.desc("score"), "file_path", "chunk_index").limit(k)
+    return hits.orderBy(F.desc_nulls_last("score"), "file_path", "chunk_index").limit(k)
 
 
 def vector_search(chunks: DataFrame, query: Sequence[float], k: int, least: float, path: str | None = None) -> DataFrame:
     """The k best chunks (columns of chunks and score) of at least a similarity among paths that contain a part."""
-    scored = chunks.where(path_contains(F.col("file_path"), path)).withColumn("score", cosine_to(F.col("vector"), query))
-    return ranked(scored.where(passes(F.col("score"), least)), k)
+    scored = chunks.where(path_contains(F.col("file_path"), path)).withColumn("score", comparable(cosine_to(F.col("vector"), query)))
+    # The best k of those that pass are those that pass of the best k; a filter below the top k would score each row twice.
+    return ranked(scored, k).where(passes(F.col("score"), least))
 
 
 def dated_search(
@@ -97,10 +98,10 @@ def batch_search(chunks: DataFrame, queries: DataFrame, k: int, least: float = -
     k rows of a query before the shuffle.
     """
     q = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
-    pairs = chunks.join(q, F.lit(True)).withColumn("score", cosine(F.col("vector"), F.col("query_vector")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_path", "chunk_index")
-    hits = pairs.where(passes(F.col("score"), least)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return hits.drop("query_vector")
+    pairs = chunks.join(q, F.lit(True)).withColumn("score", comparable(cosine(F.col("vector"), F.col("query_vector"))))
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "file_path", "chunk_index")
+    hits = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return hits.where(passes(F.col("score"), least)).drop("query_vector")
 
 
 def result_rows(hits: DataFrame) -> DataFrame:

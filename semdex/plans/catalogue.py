@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semdex.functions.embedding import HashEmbedder
-from semdex.functions.similarity import cosine, literal, passes
+from semdex.functions.similarity import comparable, cosine, literal, passes
 from semdex.functions.text import embedded_text, extension, human_size, token_count, tokens, truncate_utf8
 from semdex.operators import chunking, diff, rerank, routing, search, similar, stats
 from semdex.plans import views
@@ -500,8 +500,8 @@ def hash_search(spark: SparkSession, d: str) -> DataFrame:
     embedder = HashEmbedder(DIM)
     docs = embedder.column(views.doc(spark, d), F.col("text"), "vector").withColumn("chunk_index", F.lit(0))
     q = embedder.one(spark, RERANK_QUERY)
-    scored = docs.withColumn("score", cosine(F.col("vector"), literal(q)))
-    return scored.where(passes(F.col("score"), -1.0)).orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
+    scored = docs.withColumn("score", comparable(cosine(F.col("vector"), literal(q))))
+    return scored.orderBy(F.desc_nulls_last("score"), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @C.add(
