@@ -140,7 +140,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     order = Window.partitionBy("doc_id", "fp").orderBy("begin", "start", "blocks", "quota")
     spans = mix(docs, **options).withColumn("again", F.row_number().over(order)).where("taken > 0")
     plan = F.struct("taken", "size", "begin", "width", "quota", "blocks", "start")
-    spans = spans.select(F.col("doc_id").alias("k1"), F.col("fp").alias("k2"), F.col("again").alias("k3"), plan.alias("p"))
+    spans = spans.select(F.col("doc_id").alias("k1"), F.col("fp").alias("k2"), F.col("again").alias("k3"), plan.alias("p")).hint("shuffle_hash")
     row = F.struct(*docs.columns)
     keyed = docs.select(row.alias("d"), F.col("doc_id").alias("e1"), F.xxhash64("text").alias("e2"), F.col("source").alias("e4"))
     keyed = keyed.withColumn("e3", F.row_number().over(Window.partitionBy("e1", "e2").orderBy("e4")))

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semdex.llm.common import sliced
+
 MAX_LEN = 2048
 END = 1
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ɏ]*")
@@ -76,7 +78,7 @@ def packed(docs: DataFrame, json_path: str, ranks_path: str | None = None, max_l
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         following = (task.partitionId() if task else 0) << 40
-        for batch in batches:
+        for batch in sliced(batches):
             docs_, starts, lengths, crcs, totals, ids = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 tokens = np.array(token_ids(text.as_py(), json_path, ranks_path) + [end_id], "<u4")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semdex.llm.common import sliced
+
 SEED = 17
 THRESHOLD = 0.7
 CLASSES = 16
@@ -185,7 +187,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model_scores(model, pdf["text"].tolist())})
 
     cast = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -204,7 +206,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(model_scores(model, batch.column(at).to_pylist()) >= threshold))
 
     return docs if model is None else docs.mapInArrow(keep, docs.schema)

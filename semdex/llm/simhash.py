@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semdex.llm.common import materialize
+from semdex.llm.common import materialize, sliced
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and its 64-bit fingerprint as a signed long."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             fps = np.array([fingerprint(t, width) for t in pdf["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
 
