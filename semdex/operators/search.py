@@ -7,11 +7,16 @@ go to the smaller path and chunk index.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from semdex.functions.similarity import comparable, cosine, cosine_to, passes
 from semdex.functions.text import path_contains
@@ -104,6 +109,63 @@ def batch_search(chunks: DataFrame, queries: DataFrame, k: int, least: float = -
     return hits.where(passes(F.col("score"), least)).drop("query_vector")
 
 
+def matrix_of(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of unit length in doubles, and which rows are of dim finite components and not zero; others are zero rows."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    good = (sizes == dim) & (dim > 0)
+    out = np.zeros((len(vectors), dim))
+    if not good.any():
+        return out, good
+    flat = pc.list_flatten(vectors.filter(pa.array(good))).to_numpy(zero_copy_only=False).astype(np.float64)
+    out[good] = flat.reshape(-1, dim)
+    length = np.sqrt((out * out).sum(axis=1))
+    good = good & np.isfinite(length) & (length > 0)
+    out[good] /= length[good, None]
+    out[~good] = 0.0
+    return out, good
+
+
+def batch_search_arrow(chunks: DataFrame, queries: DataFrame, k: int, least: float = -1.0, keys: Sequence[str] = ("file_path", "chunk_index"), max_queries: int = 4096) -> DataFrame:
+    """query_id, keys, score and rank of the k best chunks of each query, by matrix products over Arrow batches.
+
+    Each batch keeps the k best rows of a query, and rows equal to the last of them, so the shuffle has few. Scores are
+    rounded to 12 decimals, ties go by the keys. Queries are counted first: up to max_queries go along with the tasks; more
+    are taken in blocks of that many, a pass over the vectors each.
+    """
+    rows = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    blocks = max(1, -(-rows.count() // max_queries))
+    schema = T.StructType([rows.schema["query_id"], *(chunks.schema[c] for c in keys), T.StructField("score", T.DoubleType())])
+    found = None
+    for b in range(blocks):
+        asked = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        one = chunks.select("vector", *keys).mapInArrow(_best_of(asked, k, to_arrow_type(rows.schema["query_id"].dataType)), schema)
+        found = one if found is None else found.unionByName(one)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *keys)
+    ranked_ = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked_.where(passes(F.col("score"), least))
+
+
+def _best_of(asked: list, k: int, id_type: pa.DataType):
+    ids = np.array([r["query_id"] for r in asked], object)
+    dim = max((len(r["query_vector"] or ()) for r in asked), default=0)
+    q, known = matrix_of(pa.array([r["query_vector"] for r in asked], pa.list_(pa.float64())), dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 2_000_000 // max(1, len(ids)))
+        for whole in batches:
+            for a in range(0, whole.num_rows if len(ids) and dim else 0, step):
+                batch = whole.slice(a, step)
+                v, good = matrix_of(batch.column(0), dim)
+                scores = np.where(good[:, None] & known, np.round(v @ q.T, 12), -np.inf)
+                last = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(len(ids), -np.inf)
+                at, of = np.nonzero((scores >= last) & np.isfinite(scores))
+                picked = batch.select(range(1, batch.num_columns)).take(pa.array(at))
+                columns = [pa.array(ids[of].tolist(), id_type), *picked.columns, pa.array(scores[at, of])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", *picked.schema.names, "score"])
+
+    return run
+
+
 def result_rows(hits: DataFrame) -> DataFrame:
     """Columns of a result, with the defaults of missing ones."""
     have = set(hits.columns)

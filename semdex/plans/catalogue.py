@@ -112,6 +112,13 @@ def batch_topk_per_query(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "rank", "file_path", "chunk_index", F.round("score", 6).alias("score"))
 
 
+@C.add(C.sql["batch_topk_per_query"])
+def batch_topk_arrow(spark: SparkSession, d: str) -> DataFrame:
+    q = T(spark, d, "embeddings").where(F.col("vec_id").isin(0, 1, 2, 3, 4)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = search.batch_search_arrow(views.idx(spark, d), q, 5)
+    return found.select("query_id", "rank", "file_path", "chunk_index", F.round("score", 6).alias("score"))
+
+
 # --- Dates ---------------------------------------------------------------------------------------------------------
 
 
@@ -514,10 +521,8 @@ def hash_search_benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
     embedder = HashEmbedder(DIM)
     docs = embedder.column(T(spark, d, "documents"), F.col("text"), "vector").select("doc_id", "vector")
     asked = embedder.column(T(spark, d, "benchmark"), F.col("text"), "query_vector").select("item_id", "query_vector")
-    pairs = docs.join(asked, F.lit(True)).withColumn("score", cosine(F.col("vector"), F.col("query_vector")))
-    order = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    best = pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
-    return best.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    best = search.batch_search_arrow(docs, asked.withColumnRenamed("item_id", "query_id"), 3, keys=["doc_id"])
+    return best.select(F.col("query_id").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 # --- Strings and results -------------------------------------------------------------------------------------------

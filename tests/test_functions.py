@@ -119,3 +119,18 @@ def test_config_paths(tmp_path):
     assert C.adopt_legacy(new, old).read_text() == "changed"
     with pytest.raises(ValueError):
         C.Chunking(max_chunk_tokens=10, overlap_tokens=10)
+
+
+@pytest.mark.parametrize("max_queries", [4096, 2])
+def test_batch_search_by_matrix(spark, max_queries):
+    from semdex.operators.search import batch_search, batch_search_arrow
+
+    nan = float("nan")
+    vectors = [[1.0, 0.0], [0.5, 0.5], [0.5, 0.5], [0.0, 0.0], [nan, 1.0], None, [1.0], [-1.0, 0.2], [2.0, 2.0]]
+    chunks = spark.createDataFrame([(f"/f{k % 4}", k, v) for k, v in enumerate(vectors)], "file_path string, chunk_index long, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, -1.0]), (4, [0.0, 0.0]), (5, None)], "query_id int, query_vector array<double>")
+    show = lambda df: sorted((r["query_id"], r["rank"], r["file_path"], r["chunk_index"], round(r["score"], 9)) for r in df.collect())
+    usable = chunks.where("size(vector) = 2")
+    want = show(batch_search(usable, queries.where("query_vector IS NOT NULL"), 3, -0.5))
+    assert show(batch_search_arrow(chunks, queries, 3, -0.5, max_queries=max_queries)) == want and len(want) > 5
+    assert batch_search_arrow(chunks.limit(0), queries, 3).count() == 0 and batch_search_arrow(chunks, queries.limit(0), 3).count() == 0
