@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semdex.llm.common import small_batches
 from semdex.llm.pu_quality import remainder
 
 SEED = 29
@@ -40,7 +41,7 @@ THRESHOLD = 0.5
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PREFIXES = (3, 4, 5, 6, 7, 8)
 CACHE_WORDS = 500_000
-BATCH_TOKENS = 400_000
+BATCH_TOKENS = GROUP_TOKENS = 200_000
 
 
 def token_features(word: str) -> tuple[str, ...]:
@@ -167,6 +168,17 @@ def near_key(words: list[str]) -> tuple:
     return tuple(sorted(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(words))[:2])
 
 
+def expected_gap(emit: np.ndarray, first: np.ndarray, start: float, trans: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """What the tags have beyond their expectation: by token, at document starts, and by pair of neighbouring tags."""
+    p, alpha, beta = marginals(emit, first, start, trans)
+    inner = ~first[1:]
+    ahead = beta[1:][inner] * np.stack([np.ones(inner.sum()), np.exp(np.clip(emit[1:][inner], -30, 30))], axis=1)
+    joint = alpha[:-1][inner][:, :, None] * np.exp(trans)[None] * ahead[:, None, :]
+    pairs = -(joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    np.add.at(pairs, (tags[:-1][inner].astype(int), tags[1:][inner].astype(int)), 1)
+    return tags - p, float((tags[first] - p[first]).sum()), pairs
+
+
 def fit_field(docs: list[list[str]], toxic: np.ndarray, steps: int = 120, decay: float = 0.02) -> Field:
     """Label tokens from the documents' labels, then maximise their likelihood by Adam."""
     found = [Counter(), Counter()]
@@ -196,25 +208,22 @@ def fit_field(docs: list[list[str]], toxic: np.ndarray, steps: int = 120, decay:
     first = np.zeros(len(ids), bool)
     first[(np.cumsum(n) - n)[n > 0]] = True
     tags = labelled[ids] & np.repeat(toxic.astype(bool), n)
-    last = np.append(first[1:], True)
-    pair_true = np.zeros((2, 2))
-    np.add.at(pair_true, (tags[:-1][~last[:-1]].astype(int), tags[1:][~first[1:]].astype(int)), 1)
+    # Whole documents in groups of about GROUP_TOKENS tokens, so that only one group's vectors are in memory at once.
+    ends = np.cumsum(n)
+    cuts = [0, *ends[np.flatnonzero(np.diff(ends // GROUP_TOKENS))].tolist(), len(ids)]
+    groups = [slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
     theta = np.zeros(len(own) + 6)
     theta[len(own)] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     scale = max(1.0, tags.sum())
     for t in range(1, steps + 1):
         per_word = np.bincount(of_word, theta[flat_], len(vocabulary)) + theta[len(own)]
-        trans = theta[len(own) + 2 :].reshape(2, 2)
-        emit = per_word[ids]
-        p, alpha, beta = marginals(emit, first, theta[len(own) + 1], trans)
-        e = np.exp(np.clip(emit, -30, 30))
-        w = np.exp(trans)
-        inner = ~last[:-1]
-        joint = alpha[:-1][inner][:, :, None] * w[None] * (np.stack([np.ones(inner.sum()), e[1:][inner]], 1) * beta[1:][inner])[:, None, :]
-        pair = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        g_word = np.bincount(ids, tags - p, len(vocabulary))
-        g = np.concatenate([np.bincount(flat_, g_word[of_word], len(own)), [g_word.sum(), (tags[first] - p[first]).sum()], (pair_true - pair).ravel()])
+        g_word, g_start, g_pair = np.zeros(len(vocabulary)), 0.0, np.zeros((2, 2))
+        for group in groups:
+            over, at_start, pairs = expected_gap(per_word[ids[group]], first[group], theta[len(own) + 1], theta[len(own) + 2 :].reshape(2, 2), tags[group])
+            g_word += np.bincount(ids[group], over, len(vocabulary))
+            g_start, g_pair = g_start + at_start, g_pair + pairs
+        g = np.concatenate([np.bincount(flat_, g_word[of_word], len(own)), [g_word.sum(), g_start], g_pair.ravel()])
         g = g / scale - decay * np.append(theta[: len(own)], np.zeros(6)) * 0.05
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta += 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -259,7 +268,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Field:
     return model
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000) -> Field:
+def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 2400) -> Field:
     """Fit on a bounded sample of labelled documents; the bounds hold for the sample only."""
     train = labels.where((remainder(F.col("doc_id"), 5) != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     order = F.xxhash64(F.lit(SEED), "doc_id")
@@ -294,7 +303,7 @@ def scored(docs: DataFrame, model: Field) -> DataFrame:
             parts = [model.score(*tag_batch(model, cache, group)[:3]) for group in in_batches(pdf["text"])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.concatenate([np.empty(0), *parts])})
 
-    cast = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cast = small_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cast.mapInPandas(compute, "doc_id string, score double").select(F.col("doc_id").cast(kind), "score")
 
 
