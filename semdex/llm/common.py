@@ -29,11 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back.
 
-    Later jobs reread committed files, so a lost executor costs no recomputation of what led here.
+    Later jobs reread committed files, so a lost executor costs no recomputation of what led here. The table goes when the
+    application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/semdex/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,6 +44,21 @@ def scaled_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch of texts; Spark's default is sixteen times this, in both processes and for each running task.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to send Python workers Arrow batches of at most BATCH_BYTES; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+            conf.set(key, str(BATCH_BYTES))
+    except ValueError:
+        pass  # a value with a unit is the user's own
+    return df
+
+
 def sliced(batches: Iterator, rows: int = 1000) -> Iterator:
     """Arrow batches or pandas frames in parts of at most so many rows, so that Python objects of a few are alive at once."""
     for batch in batches:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semdex.llm.common import sliced
+from semdex.llm.common import sliced, small_batches
 
 MAX_LEN = 2048
 END = 1
@@ -103,7 +103,7 @@ def packed(docs: DataFrame, json_path: str, ranks_path: str | None = None, max_l
 
     kind = docs.schema["doc_id"].dataType
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long" + ", ids array<int>" * with_ids
-    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, schema)
+    out = small_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, schema)
     bucket = F.log2("length").cast("int")
     return out.withColumns({"doc_id": F.col("doc_id").cast(kind), "offset": F.lit(0).cast("long"), "bucket": bucket})
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from semdex.llm.common import materialize, sliced
+from semdex.llm.common import materialize, sliced, small_batches
 from semdex.llm.induced_sort import repeated
 
 LENGTH = 100
@@ -394,7 +394,7 @@ def keyed(docs: DataFrame, *more) -> DataFrame:
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, with_text: bool = False) -> DataFrame:
     """d, th, n_bytes, n_removed, n_spans, kept_sha256 of every document and, with_text, the kept text and the whole row."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = keyed(docs)
+    rows = keyed(small_batches(docs))
     found = rows.mapInArrow(anchors_of(length, gram), ANCHOR_SCHEMA).repartition(n, "h").sortWithinPartitions("h", "c", "d", "at")
     settled = materialize(found.mapInArrow(settled_of(length), SETTLED_SCHEMA), "contexts")
     wanted = settled.where("h IS NOT NULL").groupBy(F.col("d").alias("wd")).agg(F.collect_list(F.struct("h", "at", "ends")).alias("wanted"))
