@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semdex.llm.common import sliced
+from semdex.llm.common import sliced, small_batches
 
 SEED = 17
 THRESHOLD = 0.7
@@ -150,20 +150,18 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(m))
 
 
-def featured(docs: DataFrame) -> DataFrame:
+def sample(docs: DataFrame, ids: DataFrame, limit: int) -> np.ndarray:
+    """Features of the documents of at most ``limit`` ids, those with the least seeded hash, in the order of their ids; of
+    rows that share an id, the least text."""
+
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"f": [features(t).tolist() for t in pdf["text"]]})
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(compute, "f array<float>")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "f": [features(t).tolist() for t in pdf["text"]]})
 
-
-def sample(docs: DataFrame, ids: DataFrame, limit: int) -> np.ndarray:
-    """Features of the documents of at most ``limit`` ids, those with the least seeded hash."""
     chosen = ids.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(limit)
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").limit(2 * limit)
-    found = featured(rows).toPandas()["f"]
-    return np.array(found.tolist(), np.float32).reshape(-1, WIDTH)
+    rows = small_batches(docs).join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.col("text").cast("string")).alias("text"))
+    found = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(compute, "doc_id string, f array<float>").toPandas()
+    return np.array(found.sort_values("doc_id")["f"].tolist(), np.float32).reshape(-1, WIDTH)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 9000) -> Model | None:
@@ -190,7 +188,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         for pdf in sliced(batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model_scores(model, pdf["text"].tolist())})
 
-    cast = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cast = small_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cast.mapInPandas(compute, "doc_id string, score double").select(F.col("doc_id").cast(kind), "score")
 
 
@@ -209,4 +207,4 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
         for batch in sliced(batches):
             yield batch.filter(pa.array(model_scores(model, batch.column(at).to_pylist()) >= threshold))
 
-    return docs if model is None else docs.mapInArrow(keep, docs.schema)
+    return docs if model is None else small_batches(docs).mapInArrow(keep, docs.schema)
