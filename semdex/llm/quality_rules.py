@@ -51,12 +51,13 @@ class Rule:
         return "(" + " AND ".join(parts) + ")"
 
 
-#: Ratios are per word or per line; every metric is defined once there is a word.
+#: Ratios are per word or per line; every metric is defined once there is a word. Under 50 words a share of stop words says
+#: little, and a fixed one that passes stands for it.
 RULES = (
     Rule("mean_word_length", "word_chars / greatest(n_words, 1)", 2.0, 14.0),
     Rule("symbols_per_word", "n_symbols / greatest(n_words, 1)", None, 0.1),
-    Rule("stop_word_share", "n_stop / greatest(n_words, 1)", 0.02, 0.8),
-    Rule("duplicate_line_share", "n_dup_lines / greatest(n_lines, 1)", None, 0.3),
+    Rule("stop_word_share", "CASE WHEN n_words < 50 THEN 0.4 ELSE n_stop / n_words END", 0.02, 0.8),
+    Rule("duplicate_line_share", "n_dup_lines / greatest(n_lines, 1)", None, 0.5),
     Rule("bullet_line_share", "n_bullets / greatest(n_lines, 1)", None, 0.9),
 )
 
