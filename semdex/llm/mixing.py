@@ -137,25 +137,25 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     by doc_id and text hash; repeated rows (equal in both) get the places of their group one each.
     """
     cap = int(options.get("cap", 2.0))
-    order = Window.partitionBy("doc_id", "fp").orderBy("begin", "start", "blocks", "quota")
-    spans = mix(docs, **options).withColumn("again", F.row_number().over(order)).where("taken > 0")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     plan = F.struct("taken", "size", "begin", "width", "quota", "blocks", "start")
-    spans = spans.select(F.col("doc_id").alias("k1"), F.col("fp").alias("k2"), F.col("again").alias("k3"), plan.alias("p")).hint("shuffle_hash")
-    row = F.struct(*docs.columns)
-    keyed = docs.select(row.alias("d"), F.col("doc_id").alias("e1"), F.xxhash64("text").alias("e2"), F.col("source").alias("e4"))
-    keyed = keyed.withColumn("e3", F.row_number().over(Window.partitionBy("e1", "e2").orderBy("e4")))
-    joined = keyed.join(spans, F.col("e1").eqNullSafe(F.col("k1")) & (F.col("e2") == F.col("k2")) & (F.col("e3") == F.col("k3")))
+    spans = mix(docs, **options).select(key.alias("k1"), F.col("fp").alias("k2"), plan.alias("p"))
+    again = Window.partitionBy("k1", "k2").orderBy("p.begin", "p.start", "p.blocks", "p.quota")
+    spans = spans.withColumn("k3", F.row_number().over(again)).where("p.taken > 0").hint("shuffle_hash")
+    rows = docs.select(F.struct(*docs.columns).alias("d"), key.alias("e1"), F.xxhash64("text").alias("e2"), F.col("source").alias("e4"))
+    rows = rows.withColumn("e3", F.row_number().over(Window.partitionBy("e1", "e2").orderBy("e4")))
+    # Both sides lie by (id, text hash) already; as two bounds the number is no join key, so texts are not dealt anew for it.
+    joined = rows.join(spans, (F.col("e1") == F.col("k1")) & (F.col("e2") == F.col("k2")) & (F.col("e3") <= F.col("k3")) & (F.col("e3") >= F.col("k3")))
     piece = r"[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"
     times = times_taken("(p.begin + k) div p.width").replace("quota", "p.quota").replace("start", "p.start").replace("blocks", "p.blocks")
-    whole = F.expr(f"p.taken = p.size * {cap} OR p.quota = p.blocks")
-    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(cap)))).withColumn(
-        "kept",
-        F.when(whole, F.expr("IF(copy * p.size <= p.taken, d.text, '')")).otherwise(
-            F.expr(f"concat_ws('', filter(regexp_extract_all(d.text, '{piece}', 0), (w, k) -> ({times}) >= copy))")
-        ),
+    texts = F.expr(
+        f"CASE WHEN p.taken = p.size * {cap} OR p.quota = p.blocks THEN transform(sequence(1, {cap}), c -> IF(c * p.size <= p.taken, d.text, '')) "
+        f"ELSE get(transform(array(regexp_extract_all(d.text, '{piece}', 0)), ps -> "
+        f"transform(sequence(1, {cap}), c -> concat_ws('', filter(ps, (w, k) -> ({times}) >= c)))), 0) END"
     )
+    copies = joined.select("d", F.explode(F.filter(texts, lambda t: t != "")).alias("kept"))
     changed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("bigint")}
-    return copies.where("kept <> ''").select(*[changed.get(c, F.col("d")[c]).alias(c) for c in docs.columns])
+    return copies.select(*[changed.get(c, F.col("d")[c]).alias(c) for c in docs.columns])
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semdex.llm.common import materialize, sliced
+from semdex.llm.common import materialize, sliced, small_batches
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
 
     kind = docs.schema["doc_id"].dataType
-    cast = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cast = small_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cast.mapInPandas(score, "doc_id string, fp long").select(F.col("doc_id").cast(kind), "fp")
 
 
@@ -124,20 +124,30 @@ def near_components(fps: DataFrame) -> DataFrame:
     return rooted.join(second, rooted["root"] == second["node"], "left").select("fp", F.coalesce(second["root"], rooted["root"]).alias("root"))
 
 
+def named_components(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, least, root) of every distinct fingerprint and (root, component_id) of every component."""
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    by_fp = least.join(near_components(fps), "fp")
+    return by_fp, by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links of 3 or fewer differing bits)."""
     fps = materialize(fingerprints(docs, width), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    by_fp = least.join(near_components(fps), "fp")
-    roots = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp, roots = named_components(fps)
     named = by_fp.join(roots, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
     """One document of each component, that of its least doc_id; the rows keep the columns of docs."""
-    least = near_duplicates(docs, width).select(F.col("component_id").alias("rep_")).distinct()
-    return docs.join(least, docs["doc_id"].eqNullSafe(F.col("rep_")), "left_semi").dropDuplicates(["doc_id"])
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    _, roots = named_components(materialize(fingerprints(docs, width), "fingerprints"))
+    least = roots.select(key("component_id").alias("rep")).distinct()
+    # One key column for the join and for rows that repeat an id, so that texts are shuffled once.
+    rows = docs.select(F.struct(*docs.columns).alias("d"), key("doc_id").alias("own"))
+    kept = rows.join(least, F.col("own") == F.col("rep"), "left_semi").groupBy("own").agg(F.first("d").alias("d"))
+    return kept.select(*[F.col("d")[c].alias(c) for c in docs.columns])
 
 
 def op6(docs: DataFrame) -> DataFrame:
