@@ -51,42 +51,44 @@ def token_features(word: str) -> tuple[str, ...]:
 
 
 def scan(m: np.ndarray) -> np.ndarray:
-    """v[t] = m[t] v[t - 1] / its sum, v[-1] = (1, 1); m has shape (n, 2, 2).
+    """v[:, t] = M[t] v[:, t - 1] / its sum, v[:, -1] = (1, 1), where m[:, t] are the entries of M[t] by rows; m is (4, n).
 
     Rows of a near-square grid hold equal blocks; all blocks' products are formed in lockstep, then the vectors entering
     each block in order, then all vectors in lockstep.
     """
-    n = len(m)
+    n = m.shape[1]
     if not n:
-        return np.empty((0, 2))
+        return np.empty((2, 0))
     cols = max(1, math.isqrt(n))
     rows = -(-n // cols)
-    full = np.empty((rows * cols, 2, 2))
-    full[:n] = m
-    full[n:] = np.eye(2)
-    grid = full.reshape(rows, cols, 2, 2)
-    prod = np.broadcast_to(np.eye(2), (rows, 2, 2))
-    for c in range(cols):
-        prod = grid[:, c] @ prod
-        prod = prod / prod.sum(axis=(1, 2), keepdims=True)
-    entering = np.empty((rows, 2))
-    a, b = 0.5, 0.5
-    for r, ((p, q), (s, t)) in enumerate(prod.tolist()):
-        entering[r] = a, b
-        a, b = p * a + q * b, s * a + t * b
-        a, b = a / (a + b), b / (a + b)
-    out = np.empty((rows, cols, 2))
-    v = entering
-    for c in range(cols):
-        g = grid[:, c]
-        v = np.stack([g[:, 0, 0] * v[:, 0] + g[:, 0, 1] * v[:, 1], g[:, 1, 0] * v[:, 0] + g[:, 1, 1] * v[:, 1]], axis=1)
-        v = v / v.sum(axis=1, keepdims=True)
-        out[:, c] = v
-    return out.reshape(-1, 2)[:n]
+    full = np.zeros((4, rows * cols))
+    full[:, :n] = m
+    full[0, n:] = full[3, n:] = 1.0
+    steps = np.ascontiguousarray(full.reshape(4, rows, cols).transpose(2, 0, 1))
+    p, q, r, s = np.ones(rows), np.zeros(rows), np.zeros(rows), np.ones(rows)
+    for c, (a, b, d, e) in enumerate(steps):
+        p, q, r, s = a * p + b * r, a * q + b * s, d * p + e * r, d * q + e * s
+        if c % 4 == 3:
+            z = 1 / (p + q + r + s)
+            p, q, r, s = p * z, q * z, r * z, s * z
+    entering = np.empty((2, rows))
+    x, y = 0.5, 0.5
+    for k, (pk, qk, rk, sk) in enumerate(zip(p.tolist(), q.tolist(), r.tolist(), s.tolist())):
+        entering[:, k] = x, y
+        x, y = pk * x + qk * y, rk * x + sk * y
+        x, y = x / (x + y), y / (x + y)
+    out = np.empty((cols, 2, rows))
+    v, w = entering
+    for c, (a, b, d, e) in enumerate(steps):
+        v, w = a * v + b * w, d * v + e * w
+        z = 1 / (v + w)
+        v, w = v * z, w * z
+        out[c, 0], out[c, 1] = v, w
+    return out.transpose(1, 2, 0).reshape(2, -1)[:, :n]
 
 
 def marginals(emit: np.ndarray, first: np.ndarray, start: float, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probability of tag 1 for each token, with the forward and backward vectors.
+    """Probability of tag 1 for each token, with the forward and backward vectors, both (2, n).
 
     emit: log-potential of tag 1 against 0; first: True where a document begins; start: log-potential of beginning with
     tag 1; trans[i, j]: log-potential of tag j after tag i.
@@ -94,21 +96,20 @@ def marginals(emit: np.ndarray, first: np.ndarray, start: float, trans: np.ndarr
     e, w = np.exp(np.clip(emit, -30, 30)), np.exp(trans)
     n = len(e)
     if not n:
-        return np.empty(0), np.empty((0, 2)), np.empty((0, 2))
-    forward = np.empty((n, 2, 2))
-    # Row: new tag, column: previous tag.
-    forward[:, 0, 0], forward[:, 0, 1], forward[:, 1, 0], forward[:, 1, 1] = w[0, 0], w[1, 0], e * w[0, 1], e * w[1, 1]
-    forward[first] = np.stack([np.ones(first.sum()), np.ones(first.sum()), e[first] * math.exp(start), e[first] * math.exp(start)], axis=1).reshape(-1, 2, 2)
-    alpha = scan(forward)
-    last = np.append(first[1:], True)
+        return np.empty(0), np.empty((2, 0)), np.empty((2, 0))
+    m = np.empty((4, n))
+    # Rows: new tag; columns: previous tag.
+    m[0], m[1], m[2], m[3] = w[0, 0], w[1, 0], e * w[0, 1], e * w[1, 1]
+    m[:2, first] = 1.0
+    m[2:, first] = e[first] * math.exp(start)
+    alpha = scan(m)
     after = np.append(e[1:], 1.0)
-    backward = np.empty((n, 2, 2))
-    # Row: this tag, column: next tag.
-    backward[:, 0, 0], backward[:, 0, 1], backward[:, 1, 0], backward[:, 1, 1] = w[0, 0], after * w[0, 1], w[1, 0], after * w[1, 1]
-    backward[last] = 1.0
-    beta = scan(backward[::-1])[::-1]
+    # Rows: this tag; columns: next tag.
+    m[0], m[1], m[2], m[3] = w[0, 0], after * w[0, 1], w[1, 0], after * w[1, 1]
+    m[:, np.append(first[1:], True)] = 1.0
+    beta = scan(m[:, ::-1])[:, ::-1]
     both = alpha * beta
-    return both[:, 1] / both.sum(axis=1), alpha, beta
+    return both[1] / (both[0] + both[1]), alpha, beta
 
 
 @dataclass
@@ -172,9 +173,9 @@ def expected_gap(emit: np.ndarray, first: np.ndarray, start: float, trans: np.nd
     """What the tags have beyond their expectation: by token, at document starts, and by pair of neighbouring tags."""
     p, alpha, beta = marginals(emit, first, start, trans)
     inner = ~first[1:]
-    ahead = beta[1:][inner] * np.stack([np.ones(inner.sum()), np.exp(np.clip(emit[1:][inner], -30, 30))], axis=1)
-    joint = alpha[:-1][inner][:, :, None] * np.exp(trans)[None] * ahead[:, None, :]
-    pairs = -(joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    ahead = beta[:, 1:][:, inner] * np.stack([np.ones(inner.sum()), np.exp(np.clip(emit[1:][inner], -30, 30))])
+    joint = alpha[:, :-1][:, inner][:, None, :] * np.exp(trans)[:, :, None] * ahead[None]
+    pairs = -(joint / joint.sum(axis=(0, 1))).sum(axis=2)
     np.add.at(pairs, (tags[:-1][inner].astype(int), tags[1:][inner].astype(int)), 1)
     return tags - p, float((tags[first] - p[first]).sum()), pairs
 
