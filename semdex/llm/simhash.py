@@ -15,8 +15,8 @@ Exact copies share a fingerprint and are one node. Components come from alternat
 with each round written to the shared folder; nothing is collected but counts.
 
 Defined cases: null, empty and blank texts have no words, fingerprint zero and are linked like any other; null doc_id is
-ignored when the least of a component is taken (null if it has no other); repeated rows are kept; an empty table gives an
-empty result; extra columns are ignored.
+ignored when the least of a component is taken (null if it has no other); repeated rows are kept, but representatives() keeps
+one of them; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semdex.llm.common import materialize, sliced, small_batches
@@ -65,17 +65,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and its 64-bit fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, with_digest: bool = False) -> DataFrame:
+    """doc_id and its 64-bit fingerprint as a signed long; with_digest also the text's MD5."""
+    more = ["digest"] * with_digest
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in sliced(batches):
             fps = np.array([fingerprint(t, width) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps} | {c: pdf[c] for c in more})
 
     kind = docs.schema["doc_id"].dataType
-    cast = small_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cast.mapInPandas(score, "doc_id string, fp long").select(F.col("doc_id").cast(kind), "fp")
+    columns = [F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    cast = small_batches(docs).select(*columns, *[digest_of("text").alias(c) for c in more])
+    schema = "doc_id string, fp long" + ", digest string" * with_digest
+    return cast.mapInPandas(score, schema).select(F.col("doc_id").cast(kind), "fp", *more)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -139,14 +142,29 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_key(doc_id: str, digest: Column) -> Column:
+    """One text column that tells rows of different ids or texts apart; null ids are apart from empty ones."""
+    return F.concat(F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.lit("n")), F.lit(":"), digest)
+
+
+def digest_of(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+
+
 def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One document of each component, that of its least doc_id; the rows keep the columns of docs."""
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    _, roots = named_components(materialize(fingerprints(docs, width), "fingerprints"))
-    least = roots.select(key("component_id").alias("rep")).distinct()
-    # One key column for the join and for rows that repeat an id, so that texts are shuffled once.
-    rows = docs.select(F.struct(*docs.columns).alias("d"), key("doc_id").alias("own"))
-    kept = rows.join(least, F.col("own") == F.col("rep"), "left_semi").groupBy("own").agg(F.first("d").alias("d"))
+    """One document of each component: that of its least doc_id (null after all others) and then of the least MD5 of the text.
+
+    Rows that agree in doc_id and text are one document. The rows keep the columns of docs.
+    """
+    fps = materialize(fingerprints(docs, width, with_digest=True), "fingerprints")
+    # Least of each fingerprint first, so that copies do not gather by root.
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    by_fp = fps.groupBy("fp").agg(F.min(order).alias("least"))
+    least = by_fp.join(near_components(fps), "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.digest")
+    chosen = least.select(row_key("doc_id", F.col("digest")).alias("rep"))
+    # One key column for the join and for rows that repeat a document, so that texts are shuffled once.
+    rows = docs.select(F.struct(*docs.columns).alias("d"), row_key("doc_id", digest_of("text")).alias("own"))
+    kept = rows.join(chosen, F.col("own") == F.col("rep"), "left_semi").groupBy("own").agg(F.first("d").alias("d"))
     return kept.select(*[F.col("d")[c].alias(c) for c in docs.columns])
 
 

@@ -295,6 +295,19 @@ def test_components_of_long_chains(spark):
     assert got == {k: 0 for k in range(201)} | {1000 + k: 1000 for k in range(50)}
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_representative_of_each_component(spark, kind):
+    """Null and repeated ids: of each component one row, and no component without one."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(6)]
+    assert all((simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 3 for a in texts for b in texts if a != b)
+    name = (lambda i: i) if kind == "long" else (lambda i: None if i is None else str(i))
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1].upper()), (None, texts[2]), (3, texts[2])]  # ids null, or not all
+    rows += [(7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[4]), (9, texts[5]), (9, texts[5].upper())]  # ids repeated
+    df = spark.createDataFrame([(name(i), t, k) for k, (i, t) in enumerate(rows)], f"doc_id {kind}, text string, n int").repartition(3)
+    got = sorted((r["text"].lower(), r["doc_id"]) for r in simhash.representatives(df).collect())
+    assert got == [(t, name(i)) for t, i in zip(texts, [None, None, 3, 7, 7, 9])]
+
+
 def test_component_is_least_doc(spark):
     rows = [(9, "a b c d"), (4, "A b  c d"), (7, ""), (3, None), (5, "other words entirely here")]
     got = {r["doc_id"]: r["component_id"] for r in simhash.op6(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
