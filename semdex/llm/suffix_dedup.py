@@ -15,7 +15,7 @@ the same document further ahead), judged on the input.
 
 Only ambiguous contexts are suffix-sorted; README has the figures that make sorting all suffixes impossible within the limits.
 Copies found within about GROUP bytes of a task's rows are settled there and leave one row for the shuffle, so a passage that a third of all
-documents hold does not gather in one task; documents and their intervals meet by a shuffle on doc_id.
+documents hold does not gather in one task; documents and their intervals meet by a shuffle on doc_id and text hash.
 
 Defined cases: null text is empty; a null doc_id counts as larger than any other; rows equal in doc_id and text are one
 document and get the same result; rows of equal doc_id and different texts are ordered by a hash of the text; a text of any length
@@ -143,7 +143,7 @@ def runs(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     return key[cut], begin[cut], (top - base)[np.append(cut[1:] - 1, len(key) - 1)]
 
 
-ANCHOR_SCHEMA = "h long, c long, d long, at long, ends long"
+ANCHOR_SCHEMA = "h long, c long, d long, th long, at long, ends long"
 
 
 def anchors_of(length: int, gram: int):
@@ -174,49 +174,50 @@ def anchors_of(length: int, gram: int):
                 continue
             own, lo, hi, away, h, c = (np.concatenate(x) for x in zip(*parts))
             h, c = h.view(np.int64), c.view(np.int64)
-            dd, at = d[own], (th[own] << 40) | lo
-            order = np.lexsort((at, dd, c, h))
+            dd, tt = d[own], th[own]
+            order = np.lexsort((lo, tt, dd, c, h))
             again = np.zeros(len(order), bool)
             ho, co = h[order], c[order]
             again[1:] = (ho[1:] == ho[:-1]) & (co[1:] == co[:-1])
             first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
             place = order[first]
-            again &= (dd[order] != dd[place]) | (at[order] != at[place])
+            again &= (dd[order] != dd[place]) | (tt[order] != tt[place]) | (lo[order] != lo[place])
             drop, keep = order[again], np.sort(order[~again])
-            columns = [h[keep], c[keep], dd[keep], at[keep], (hi[keep] + 1) << 7 | away[keep]]
+            columns = [h[keep], c[keep], dd[keep], tt[keep], lo[keep], (hi[keep] + 1) << 7 | away[keep]]
             if len(drop):
                 k, a, b = runs(own[drop], lo[drop], hi[drop] + length)
                 spread = mixed(d[k].astype(U) * U(BASE) + a.astype(U)).view(np.int64)
-                columns = [np.concatenate(x) for x in zip(columns, (spread, np.zeros(len(k), np.int64), d[k], (th[k] << 40) | a, -b))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "d", "at", "ends"])
+                columns = [np.concatenate(x) for x in zip(columns, (spread, np.zeros(len(k), np.int64), d[k], th[k], a, -b))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "d", "th", "at", "ends"])
 
     return emit
 
 
-SETTLED_SCHEMA = "d long, at long, ends long, h long"
+SETTLED_SCHEMA = "d long, th long, at long, ends long, h long"
 
 
 def settled_of(length: int):
-    """Of rows sorted by (h, c, d, at): intervals that repeat (h null), and one row of each ambiguous context."""
+    """Of rows sorted by (h, c, d, th, at): intervals that repeat (h null), and one row of each ambiguous context."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # the first row of the latest context: h, c, d, at, ends
+        last: tuple | None = None  # the first row of the latest context: h, c, d, th, at, ends
         held = False  # it waits for a second context of its anchor
         for batch in batches:
-            h, c, d, at, ends = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            h, c, d, th, at, ends = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             done = ends < 0
-            out_d, out_at, out_end, out_h, null = [d[done]], [at[done]], [-ends[done]], [h[done]], [np.ones(int(done.sum()), bool)]
-            h, c, d, at, ends = (x[~done] for x in (h, c, d, at, ends))
+            out_d, out_th, out_at, out_end, out_h = [d[done]], [th[done]], [at[done]], [-ends[done]], [h[done]]
+            null = [np.ones(int(done.sum()), bool)]
+            h, c, d, th, at, ends = (x[~done] for x in (h, c, d, th, at, ends))
             n = len(h)
             if n:
                 if last is not None:
-                    h, c, d, at, ends = (np.append(np.int64(v), x) for v, x in zip(last, (h, c, d, at, ends)))
+                    h, c, d, th, at, ends = (np.append(np.int64(v), x) for v, x in zip(last, (h, c, d, th, at, ends)))
                     n += 1
                 seen = last is not None
                 new_h = np.append(True, h[1:] != h[:-1])
                 new_c = new_h | np.append(True, c[1:] != c[:-1])
                 first = np.maximum.accumulate(np.where(new_c, np.arange(n), 0))
-                again = ~new_c & ((d != d[first]) | (at != at[first]))
+                again = ~new_c & ((d != d[first]) | (th != th[first]) | (at != at[first]))
                 heads = np.flatnonzero(new_c)
                 # A context is ambiguous if its anchor has another: the one before or the one after.
                 other = np.zeros(len(heads), bool)
@@ -228,30 +229,31 @@ def settled_of(length: int):
                 waiting = not other[-1] and (len(heads) > 1 or held or not seen)
                 chosen = heads[other]
                 out_d += [d[again], d[chosen]]
+                out_th += [th[again], th[chosen]]
                 out_at += [at[again], at[chosen]]
                 out_end += [(ends[again] >> 7) - 1 + length, ends[chosen]]
                 out_h += [h[again], h[chosen]]
                 null += [np.ones(int(again.sum()), bool), np.zeros(len(chosen), bool)]
                 k = int(heads[-1])
-                last, held = (h[k], c[k], d[k], at[k], ends[k]), bool(waiting)
-            arrays = [np.concatenate(x) for x in (out_d, out_at, out_end, out_h)]
+                last, held = (h[k], c[k], d[k], th[k], at[k], ends[k]), bool(waiting)
+            arrays = [np.concatenate(x) for x in (out_d, out_th, out_at, out_end, out_h)]
             mask = np.concatenate(null)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x) for x in arrays[:3]), pa.array(arrays[3], mask=mask)], names=["d", "at", "ends", "h"]
+                [*(pa.array(x) for x in arrays[:4]), pa.array(arrays[4], mask=mask)], names=["d", "th", "at", "ends", "h"]
             )
 
     return emit
 
 
-CUT_SCHEMA = "h long, d long, at long, ends long, bytes binary"
+CUT_SCHEMA = "h long, d long, th long, at long, ends long, bytes binary"
 
 
 def cut_of(length: int, gram: int):
-    """The bytes of a document's ambiguous contexts by class, with the hash of the class's core."""
+    """The bytes of a document's ambiguous contexts by class, with the hash of the class's core; of repeated rows in a task, one."""
     half = (length - gram) // 2
 
-    def pieces(raw: bytes, at: int, ends: int) -> Iterator[tuple[int, int, bytes]]:
-        lo, hi = at & ((1 << 40) - 1), (ends >> 7) - 1
+    def pieces(raw: bytes, lo: int, ends: int) -> Iterator[tuple[int, int, bytes]]:
+        hi = (ends >> 7) - 1
         anchor = lo + (ends & 127)
         if lo <= (last := min(hi, anchor - half)):
             yield lo, last, b"<" + raw[anchor - half : anchor + gram]
@@ -259,77 +261,81 @@ def cut_of(length: int, gram: int):
             yield first, hi, b">" + raw[anchor : anchor + length - half]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in sliced(batches):
             rows = []
             for d, th, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
+                if (d, th) in seen:
+                    continue
+                seen.add((d, th))
                 raw = text.as_py() or b""
                 for w in wanted.as_py():
-                    if w["at"] >> 40 == th:
-                        for a, b, core in pieces(raw, w["at"], w["ends"]):
-                            key = xxhash.xxh64_intdigest(core) - (1 << 63)
-                            rows.append((key, d, (th << 40) | a, b + 1, raw[a : b + length]))
-            names = ["h", "d", "at", "ends", "bytes"]
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=names)
+                    for a, b, core in pieces(raw, w["at"], w["ends"]):
+                        key = xxhash.xxh64_intdigest(core) - (1 << 63)
+                        rows.append((key, d, th, a, b + 1, raw[a : b + length]))
+            names = ["h", "d", "th", "at", "ends", "bytes"]
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=names)
 
     return emit
 
 
-INTERVAL_SCHEMA = "d long, at long, ends long"
+INTERVAL_SCHEMA = "d long, th long, at long, ends long"
 
 
 def sorted_of(length: int, shard: int = SHARD, limit: int = 1 << 24, base: int = 1 << 22):
-    """Intervals that repeat among texts sorted by (core, d, at): whole cores gather up to about ``shard`` bytes, whose text
+    """Intervals that repeat among texts sorted by (core, d, th, at): whole cores gather up to about ``shard`` bytes, whose text
     is suffix-sorted. A core's texts lie in document order, so the earliest equal window is the least position. A text equal
-    to an earlier one of its core repeats in full."""
+    to an earlier one of its core repeats in full, unless it is the same place of a repeated row."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [r[3] for r in rows]
+        texts = [r[4] for r in rows]
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).copy()
         starts = np.cumsum(sizes) - sizes
         # Bytes shift by one, so that 0 ends contexts only; UTF-8 has no byte above 244.
         symbols[np.setdiff1d(np.arange(len(symbols)), starts + sizes - 1, assume_unique=True)] += 1
-        windows = np.array([r[2] - (r[1] & ((1 << 40) - 1)) for r in rows], np.int64)
+        windows = np.array([r[3] - r[2] for r in rows], np.int64)
         counted = np.zeros(len(symbols) + 1, np.int32)
         counted[starts] += 1
         np.subtract.at(counted, starts + windows, 1)
         found = np.sort(np.concatenate([np.empty(0, np.int64), *repeated(symbols, length, np.cumsum(counted)[:-1] > 0, limit, base)]))
         context = np.searchsorted(starts, found, "right") - 1
-        lo = np.array([r[1] & ((1 << 40) - 1) for r in rows], np.int64)
+        lo = np.array([r[2] for r in rows], np.int64)
         begin = found - starts[context] + lo[context]
         if len(found):
             context, begin, end = runs(context, begin, begin + length)
         else:
             end = begin
-        d, at = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        d, th = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(d[context]), pa.array((at[context] >> 40 << 40) | begin), pa.array(end)], names=["d", "at", "ends"]
+            [pa.array(d[context]), pa.array(th[context]), pa.array(begin), pa.array(end)], names=["d", "th", "at", "ends"]
         )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []  # of closed cores with more than one text, and of the open core from `begin` on
-        known: set[bytes] = set()
+        known: dict[bytes, tuple[int, int, int]] = {}  # texts of the open core and their first place
         size, core, begin = 0, None, 0
-        again: list[tuple[int, int, int]] = []
+        again: list[tuple[int, int, int, int]] = []
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            for h, d, at, ends, raw in zip(*columns):
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for h, d, th, at, ends, raw in zip(*columns):
                 if h != core:
                     if len(rows) - begin == 1:
-                        size -= len(rows.pop()[3]) + 1  # a core of one text repeats nothing
+                        size -= len(rows.pop()[4]) + 1  # a core of one text repeats nothing
                     if size >= shard:
                         yield solve(rows)
                         rows, size = [], 0
-                    known, core, begin = set(), h, len(rows)
+                    known, core, begin = {}, h, len(rows)
                 if raw in known:
-                    again.append((d, at, ends - 1 + length))
+                    if known[raw] != (d, th, at):
+                        again.append((d, th, at, ends - 1 + length))
                 else:
-                    known.add(raw)
-                    rows.append((d, at, ends, raw))
+                    known[raw] = (d, th, at)
+                    rows.append((d, th, at, ends, raw))
                     size += len(raw) + 1
             if again:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in again], pa.int64()) for k in range(3)], names=["d", "at", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in again], pa.int64()) for k in range(4)], names=["d", "th", "at", "ends"])
                 again = []
         if len(rows) - begin == 1:
             rows.pop()
@@ -351,7 +357,7 @@ def finished_of(with_text: bool):
             d, th, n, removed, spans, digest, left = [], [], [], [], [], [], []
             for dk, tk, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
                 raw = text.as_py() or b""
-                own = [(w["at"] & ((1 << 40) - 1), w["ends"]) for w in found.as_py() or () if w["at"] >> 40 == tk]
+                own = [(w["at"], w["ends"]) for w in found.as_py() or ()]
                 merged: list[list[int]] = []
                 for a, b in sorted(own):
                     if merged and a <= merged[-1][1]:
@@ -385,28 +391,30 @@ def finished_of(with_text: bool):
 
 
 def keyed(docs: DataFrame, *more) -> DataFrame:
-    """d: doc_id, or the largest long if null; th: 23 bits of the text's hash, which tell texts of one doc_id apart."""
+    """d: doc_id, or the largest long if null; th: the text's hash, which tells texts of one doc_id apart."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    th = F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1))
-    return docs.select(d.alias("d"), th.alias("th"), F.col("text").cast("string").alias("text"), *more)
+    text = F.col("text").cast("string")
+    return docs.select(d.alias("d"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, with_text: bool = False) -> DataFrame:
     """d, th, n_bytes, n_removed, n_spans, kept_sha256 of every document and, with_text, the kept text and the whole row."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(small_batches(docs))
-    found = rows.mapInArrow(anchors_of(length, gram), ANCHOR_SCHEMA).repartition(n, "h").sortWithinPartitions("h", "c", "d", "at")
+    found = rows.mapInArrow(anchors_of(length, gram), ANCHOR_SCHEMA).repartition(n, "h").sortWithinPartitions("h", "c", "d", "th", "at")
     settled = materialize(found.mapInArrow(settled_of(length), SETTLED_SCHEMA), "contexts")
-    wanted = settled.where("h IS NOT NULL").groupBy(F.col("d").alias("wd")).agg(F.collect_list(F.struct("h", "at", "ends")).alias("wanted"))
-    cut = rows.join(wanted.hint("shuffle_hash"), F.col("d") == F.col("wd")).select("d", "th", "text", "wanted").mapInArrow(cut_of(length, gram), CUT_SCHEMA)
-    shards = cut.repartition(n, "h").sortWithinPartitions("h", "d", "at")
+    same = (F.col("d") == F.col("wd")) & (F.col("th") == F.col("wt"))
+    place = [F.col("d").alias("wd"), F.col("th").alias("wt")]
+    wanted = settled.where("h IS NOT NULL").groupBy(*place).agg(F.collect_list(F.struct("h", "at", "ends")).alias("wanted"))
+    cut = rows.join(wanted.hint("shuffle_hash"), same).select("d", "th", "text", "wanted").mapInArrow(cut_of(length, gram), CUT_SCHEMA)
+    shards = cut.repartition(n, "h").sortWithinPartitions("h", "d", "th", "at")
     again = shards.mapInArrow(sorted_of(length, shard), INTERVAL_SCHEMA)
-    intervals = settled.where("h IS NULL").select("d", "at", "ends").unionByName(again)
-    own = intervals.groupBy(F.col("d").alias("wd")).agg(F.collect_set(F.struct("at", "ends")).alias("found"))
+    intervals = settled.where("h IS NULL").select("d", "th", "at", "ends").unionByName(again)
+    own = intervals.groupBy(*place).agg(F.collect_set(F.struct("at", "ends")).alias("found"))
     others = [c for c in docs.columns if c != "text"]
     whole = keyed(docs, F.struct(*others).alias("row")) if with_text else rows
     names = ["d", "th", "text", "found"] + ["row"] * with_text
-    joined = whole.join(own.hint("shuffle_hash"), F.col("d") == F.col("wd"), "left").select(names)
+    joined = whole.join(own.hint("shuffle_hash"), same, "left").select(names)
     schema = StructType.fromDDL(RESULT_SCHEMA)
     if with_text:
         schema = schema.add("kept", "string").add("row", joined.schema["row"].dataType)

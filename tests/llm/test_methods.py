@@ -154,6 +154,21 @@ def test_hot_passages_settle_in_every_step(spark):
     assert result(suffix_dedup.deduplicated(df)) == removed_by_brute_force(rows, 100)
 
 
+def test_repeated_rows_are_one_document(spark):
+    """Rows of equal id and text, or of no id and equal text, among texts that share their middle with different surroundings."""
+    rng = np.random.default_rng(11)
+    filler = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    middle = filler(80)
+    texts = [filler(150) + middle + filler(150) for _ in range(20)]
+    texts += [t[100:260] + filler(60) for t in texts[:6]]
+    order = sorted(texts, key=lambda t: xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(t.encode(), 42) >> 63 else 0))
+    want = sorted(removed_by_brute_force(list(enumerate(order)), 100).values())
+    for name in (None, 7):  # all texts under no id, or under one
+        df = spark.createDataFrame([(name, t) for t in texts + texts[:15] * 2], "doc_id long, text string").repartition(3)
+        got = [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.op2(df).collect()]
+        assert len(got) == len(texts) + 30 and sorted(set(got)) == want
+
+
 def test_cleaned_documents(spark, docs):
     out = suffix_dedup.cleaned_documents(docs)
     assert out.columns == docs.columns
