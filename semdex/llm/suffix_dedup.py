@@ -12,6 +12,8 @@ the same document further ahead), judged on the input.
    one class and share its core, 66 bytes to the right or left of the anchor's begin or end. The texts of each class form
    shards by core, so a short line that very many documents hold spreads over shards. Induced suffix sorting of a shard
    (disk-backed queues of suffix tuples with common-prefix values, see induced_sort) finds each window's earliest equal.
+4. A core of more than two shards, a passage that very many documents hold in different surroundings, does not go to one task:
+   its windows are settled within groups of texts and dealt by the hash of all their bytes.
 
 Only ambiguous contexts are suffix-sorted; README has the figures that make sorting all suffixes impossible within the limits.
 Copies found within about GROUP bytes of a task's rows are settled there and leave one row for the shuffle, so a passage that a third of all
@@ -42,6 +44,7 @@ GRAM = 32
 SEGMENT = 1 << 20
 GROUP = 4 << 20
 SHARD = 2 << 20
+BROADCAST = 10_000
 LAST = (1 << 63) - 1
 
 BASE = 0x9E3779B97F4A7C15
@@ -146,6 +149,26 @@ def runs(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
 ANCHOR_SCHEMA = "h long, c long, d long, th long, at long, ends long"
 
 
+def local(h, c, own, d, th, lo, hi, away, length: int) -> pa.RecordBatch:
+    """Rows of ANCHOR_SCHEMA, copies settled: all but the earliest of equal (h, c) become intervals. own: the text, by its
+    place in d and th."""
+    dd, tt = d[own], th[own]
+    order = np.lexsort((lo, tt, dd, c, h))
+    again = np.zeros(len(order), bool)
+    ho, co = h[order], c[order]
+    again[1:] = (ho[1:] == ho[:-1]) & (co[1:] == co[:-1])
+    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+    place = order[first]
+    again &= (dd[order] != dd[place]) | (tt[order] != tt[place]) | (lo[order] != lo[place])
+    drop, keep = order[again], np.sort(order[~again])
+    columns = [h[keep], c[keep], dd[keep], tt[keep], lo[keep], (hi[keep] + 1) << 7 | away[keep]]
+    if len(drop):
+        k, a, b = runs(own[drop], lo[drop], hi[drop] + length)
+        spread = mixed(d[k].astype(U) * U(BASE) + a.astype(U)).view(np.int64)
+        columns = [np.concatenate(x) for x in zip(columns, (spread, np.zeros(len(k), np.int64), d[k], th[k], a, -b))]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "d", "th", "at", "ends"])
+
+
 def anchors_of(length: int, gram: int):
     """Rows of contexts: anchor and context hash, document, text hash and start, and last start plus one with the anchor's
     distance in the lowest seven bits. Copies within a group of rows are settled here: all but the earliest become intervals
@@ -173,22 +196,7 @@ def anchors_of(length: int, gram: int):
             if not parts:
                 continue
             own, lo, hi, away, h, c = (np.concatenate(x) for x in zip(*parts))
-            h, c = h.view(np.int64), c.view(np.int64)
-            dd, tt = d[own], th[own]
-            order = np.lexsort((lo, tt, dd, c, h))
-            again = np.zeros(len(order), bool)
-            ho, co = h[order], c[order]
-            again[1:] = (ho[1:] == ho[:-1]) & (co[1:] == co[:-1])
-            first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-            place = order[first]
-            again &= (dd[order] != dd[place]) | (tt[order] != tt[place]) | (lo[order] != lo[place])
-            drop, keep = order[again], np.sort(order[~again])
-            columns = [h[keep], c[keep], dd[keep], tt[keep], lo[keep], (hi[keep] + 1) << 7 | away[keep]]
-            if len(drop):
-                k, a, b = runs(own[drop], lo[drop], hi[drop] + length)
-                spread = mixed(d[k].astype(U) * U(BASE) + a.astype(U)).view(np.int64)
-                columns = [np.concatenate(x) for x in zip(columns, (spread, np.zeros(len(k), np.int64), d[k], th[k], a, -b))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "d", "th", "at", "ends"])
+            yield local(h.view(np.int64), c.view(np.int64), own, d, th, lo, hi, away, length)
 
     return emit
 
@@ -280,6 +288,29 @@ def cut_of(length: int, gram: int):
     return emit
 
 
+def windows_of(length: int):
+    """Rows of ANCHOR_SCHEMA for the single windows of a core's texts, dealt by window: h its hash, c the core. As in
+    anchors_of, copies within a few thousand texts leave one row."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, max(1, GROUP // (4 * length))):
+            core, d, th, at, ends = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            raw = batch.column(5).to_pylist()
+            if not raw:
+                continue
+            counts = ends - at
+            sizes = np.array([len(t) for t in raw], np.int64)
+            rolling = Rolling(np.frombuffer(b"".join(raw), np.uint8))
+            own = np.repeat(np.arange(len(raw)), counts)
+            away = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+            begin = (np.cumsum(sizes) - sizes)[own] + away
+            h = rolling.of(begin, begin + length).view(np.int64)
+            lo = at[own] + away
+            yield local(h, core[own], own, d, th, lo, lo, np.zeros(len(own), np.int64), length)
+
+    return emit
+
+
 INTERVAL_SCHEMA = "d long, th long, at long, ends long"
 
 
@@ -397,6 +428,32 @@ def keyed(docs: DataFrame, *more) -> DataFrame:
     return docs.select(d.alias("d"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
 
 
+def hot_cores(cut: DataFrame, length: int, most: int) -> DataFrame | None:
+    """The cores (column core) whose texts have more than ``most`` bytes together; None if there are none. Only their number
+    comes to the driver."""
+    size = F.sum(F.col("ends") - F.col("at") + F.lit(length - 1))
+    hot = materialize(cut.groupBy(F.col("h").alias("core")).agg(size.alias("size")).where(F.col("size") > most).select("core"), "hot")
+    count = hot.count()
+    if not count:
+        return None
+    return F.broadcast(hot) if count <= BROADCAST else hot
+
+
+def repeats_among(cut: DataFrame, n: int, length: int, shard: int) -> DataFrame:
+    """Intervals that repeat among the texts of cores. Cores of up to two shards are suffix-sorted; the windows of larger ones
+    are dealt one by one, and of equal windows all but the earliest repeat."""
+    hot = hot_cores(cut, length, 2 * shard)
+    on = None if hot is None else F.col("h") == F.col("core")
+    few = cut if hot is None else cut.join(hot, on, "left_anti")
+    shards = few.repartition(n, "h").sortWithinPartitions("h", "d", "th", "at")
+    again = shards.mapInArrow(sorted_of(length, shard), INTERVAL_SCHEMA)
+    if hot is None:
+        return again
+    windows = cut.join(hot, on, "left_semi").mapInArrow(windows_of(length), ANCHOR_SCHEMA)
+    dealt = windows.repartition(n, "h").sortWithinPartitions("h", "c", "d", "th", "at")
+    return again.unionByName(dealt.mapInArrow(settled_of(length), SETTLED_SCHEMA).where("h IS NULL").drop("h"))
+
+
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, with_text: bool = False) -> DataFrame:
     """d, th, n_bytes, n_removed, n_spans, kept_sha256 of every document and, with_text, the kept text and the whole row."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -407,8 +464,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard:
     place = [F.col("d").alias("wd"), F.col("th").alias("wt")]
     wanted = settled.where("h IS NOT NULL").groupBy(*place).agg(F.collect_list(F.struct("h", "at", "ends")).alias("wanted"))
     cut = rows.join(wanted.hint("shuffle_hash"), same).select("d", "th", "text", "wanted").mapInArrow(cut_of(length, gram), CUT_SCHEMA)
-    shards = cut.repartition(n, "h").sortWithinPartitions("h", "d", "th", "at")
-    again = shards.mapInArrow(sorted_of(length, shard), INTERVAL_SCHEMA)
+    again = repeats_among(materialize(cut, "cut"), n, length, shard)
     intervals = settled.where("h IS NULL").select("d", "th", "at", "ends").unionByName(again)
     own = intervals.groupBy(*place).agg(F.collect_set(F.struct("at", "ends")).alias("found"))
     others = [c for c in docs.columns if c != "text"]

@@ -169,6 +169,37 @@ def test_repeated_rows_are_one_document(spark):
         assert len(got) == len(texts) + 30 and sorted(set(got)) == want
 
 
+def test_a_passage_in_distinct_surroundings_is_dealt_out(spark, monkeypatch):
+    """Passages of 70 and 130 bytes in a great many documents, never with equal text before or after them."""
+    rng = np.random.default_rng(12)
+    filler = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    short, long_ = filler(70), filler(130)
+    rows = [(k, filler(60) + (short, long_)[k % 2] + filler(60)) for k in range(600)]
+    rows += [(k + 600, t[20:190]) for k, (_, t) in enumerate(rows[:40])]  # windows over the edges that do repeat
+    shard, real = 2000, suffix_dedup.sorted_of
+
+    def watched(*options):
+        work = real(*options)
+
+        def emit(batches):
+            held = Counter()
+
+            def passed():
+                for batch in batches:
+                    for h, raw in zip(batch.column("h").to_pylist(), batch.column("bytes").to_pylist()):
+                        held[h] += len(raw)
+                    yield batch
+
+            yield from work(passed())
+            assert not held or max(held.values()) <= 2 * shard
+
+        return emit
+
+    monkeypatch.setattr(suffix_dedup, "sorted_of", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(suffix_dedup.deduplicated(df, shard=shard)) == removed_by_brute_force(rows, 100)
+
+
 def test_cleaned_documents(spark, docs):
     out = suffix_dedup.cleaned_documents(docs)
     assert out.columns == docs.columns
