@@ -85,7 +85,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the least node reachable.
 
     Alternating large-star and small-star contraction; both replace edges by edges to the least neighbour, so the edge
-    count does not grow, and stop when a round changes nothing.
+    count does not grow, and stop when a round changes nothing. Edges that still change in the last round are an error.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
@@ -102,6 +102,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(now) == seen:
             break
         seen = tuple(now)
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 

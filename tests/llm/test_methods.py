@@ -341,6 +341,12 @@ def test_components_of_long_chains(spark):
     assert got == {k: 0 for k in range(201)} | {1000 + k: 1000 for k in range(50)}
 
 
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(k + 1, k) for k in range(30)], "a long, b long")
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        simhash.components(chain, max_rounds=2)
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_a_representative_of_each_component(spark, kind):
     """Null and repeated ids: of each component one row, and no component without one."""
