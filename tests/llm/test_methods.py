@@ -1,6 +1,7 @@
 """The operators against brute-force versions, exact round trips and held-out accuracy."""
 
 import hashlib
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -518,12 +519,49 @@ def test_top_k_over_many_blocks(spark):
     v = rng.integers(-50, 50, (300, 5))
     rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, v array<long>")
     got = defaultdict(list)
-    for r in mtree.top_k(rows, rows.where("vec_id % 10 = 0"), 4, block_rows=40, query_rows=7).orderBy("query_id", "rank").collect():
+    for r in mtree.top_k(rows, rows.where("vec_id % 10 = 0"), 4, block_rows=40).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["score"], r["vec_id"]))
     for q in range(0, 300, 10):
         assert got[q] == sorted(((int(v[k] @ v[q]), k) for k in range(300) if k != q), key=lambda x: (-x[0], x[1]))[:4]
 
 
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_trees_are_built_once_and_queries_go_where_they_must(spark, tmp_path, monkeypatch, kind):
+    """Each row is in one tree; of clustered vectors, trees and routes shuffle fewer than three times the table's rows."""
+    rng = np.random.default_rng(5)
+    n, dims = 12000, 8
+    centres = rng.integers(-400, 400, (60, dims))
+    v = rng.integers(-400, 400, (n, dims)) if kind == "random" else centres[rng.integers(0, 60, n)] + rng.integers(-4, 5, (n, dims))
+    spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, v array<long>").write.parquet(str(tmp_path / "v"))
+    rows = spark.read.parquet(str(tmp_path / "v"))
+    kept, real = {}, {"materialize": mtree.materialize, "routed_by": mtree.routed_by}
+    monkeypatch.setattr(mtree, "materialize", lambda df, name: kept.setdefault("built", real["materialize"](df, name)))
+    monkeypatch.setattr(mtree, "routed_by", lambda level, radii: kept.setdefault("routes", real["routed_by"](level, radii)))
+    found = defaultdict(list)
+    for r in mtree.top_k(rows, rows.where("vec_id % 10 = 0"), 5).collect():
+        found[r["query_id"]].append((-r["score"], r["vec_id"]))
+    for q in range(0, n, 490):
+        assert sorted(found[q]) == sorted(((-int(s), k) for k, s in enumerate(v @ v[q]) if k != q))[:5]
+    trees = [pickle.loads(r["body"]) for r in kept["built"].where("body IS NOT NULL").select("body").collect()]
+    assert sorted(i for t in trees for i in t.ids.tolist()) == list(range(n)) and len(trees) <= 2 * mtree.FEW_PIVOTS
+    asked = kept["built"].where("query_id IS NOT NULL").select("query_id", "v", "least", F.col("tree").alias("home"))
+    sent = asked.mapInArrow(kept["routes"], "query_id long, v array<long>, least long, home long, page int, d double, reach double").count()
+    assert asked.count() == n // 10 and (kind == "random" or n + sent < 3 * n)
+
+
+def test_large_components_are_exact_or_an_error(spark):
+    def run(*vectors):
+        rows = spark.createDataFrame([(100 * k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        return {(r["query_id"], r["vec_id"]): r["score"] for r in mtree.op10(rows).collect()}
+
+    big = 2.0**20  # times 1024 is 2**30, whose square is 2**60
+    assert run([big, 1.0], [big, -2.0], [-big, 3.0])[0, 100] == 2**60 - 2 * 1024**2
+    assert run([2e6] * 2, [2e6] * 2)[0, 100] == 2 * 2_048_000_000**2
+    for vectors in ([[3e6] * 64] * 2, [[1e300, 1.0], [1.0, 1.0]]):
+        with pytest.raises(Exception, match="beyond"):
+            run(*vectors)
+
+
 # --- Registration -------------------------------------------------------------------------------------------------------
 
 
