@@ -18,30 +18,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir). A temporary one stands in only on a local master, where one
+    process has all tasks; on a cluster an unset folder is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="semdex-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back.
 
-    Later jobs reread committed files, so a lost executor costs no recomputation of what led here. The table goes when the
-    application ends.
+    Later jobs reread committed files, so a lost executor costs no recomputation of what led here. The table goes with release(),
+    or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/semdex/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    system, folder = _folder(spark, path)
+    system.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def scaled_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def release(df: DataFrame) -> None:
+    """Delete a table of materialize() that nothing lazy reads any more."""
+    system, folder = _folder(df.sparkSession, df.written_to)
+    system.delete(folder, True)
 
 
 #: Bytes of an Arrow batch of texts; Spark's default is sixteen times this, in both processes and for each running task.

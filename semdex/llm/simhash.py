@@ -6,8 +6,10 @@ With radius 3 the half is 1 (rounded down), in two rounds:
 1. Each distinct fingerprint emits the 65 variants within one bit. Two fingerprints at distance 2 or less share a variant,
    and all that share one are within distance 2 of each other, so a star to the least of them links them without
    comparing pairs. A variant has at most 65 fingerprints, whatever the data.
-2. A pair at distance 3 has a 32-bit half differing in at most one bit. Each fingerprint emits the 33 variants of each half
-   and meets the fingerprints that have such a half; pairs of different components of round 1 are verified by bit count.
+2. A pair at distance 3 has one of three blocks of bits (21 or 22) with a differing bit, and at most two in the rest. Each
+   fingerprint emits, for each block left out, the variants within one bit of its other 42 or 43 bits: 131 in all. Variants
+   that only fingerprints of one component of round 1 share are dropped; at the others, pairs of different components are
+   verified by bit count. Random fingerprints rarely meet on so many bits: 3 candidates each among 10**10.
 
 Emitting the full ball of radius 2 on one side instead takes 2,081 variants a fingerprint; see README for figures.
 
@@ -25,14 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semdex.llm.common import materialize, sliced, small_batches
+from semdex.llm.common import materialize, release, sliced, small_batches
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
+#: Rows of one key that a task holds at a time.
+HELD = 1_000_000
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
@@ -97,35 +102,92 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         joined = large.join(low, large["a"] == low["u"])
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), "edges")
+        before, edges = edges, materialize(small.where("a <> b").distinct(), "edges")
+        release(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if tuple(now) == seen:
             break
         seen = tuple(now)
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    out.written_to = edges.written_to
+    return out
+
+
+def bit(k: int) -> int:
+    """1 << k as a signed 64-bit number."""
+    return (1 << k) if k < 63 else -(1 << 63)
+
+
+#: Bits of the blocks of round 2, one of which is left out at a time.
+BLOCKS = (range(0, 21), range(21, 42), range(42, 64))
+
+
+def balls(nodes: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """Columns of nodes and, for each (kept, flipped) mask, the key fp & kept ^ flipped. The masks are one folded literal: an
+    array of as many expressions is too long a method for the JIT compiler."""
+    line = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("kept"), F.lit(m).cast("long").alias("flipped")) for k, m in masks]))
+    return nodes.withColumn("mask", line).withColumn("key", F.col("fp").bitwiseAND(F.col("mask.kept")).bitwiseXOR(F.col("mask.flipped"))).drop("mask")
+
+
+WHOLE_BALL = [(-1, m) for m in (0, *(bit(k) for k in range(64)))]
+#: For each block left out (its bits zero), the variants of the other bits within one bit.
+PARTIAL_BALLS = [
+    (sum(bit(k) for k in range(64) if k not in block), m) for block in BLOCKS for m in (0, *(bit(k) for k in range(64) if k not in block))
+]
+
+
+def mixed_of(most: int = HELD):
+    """Of rows (key, fp, root) sorted by key, those of keys with more than one root. A key that spans batches waits for its last
+    row; more than ``most`` waiting rows go out as they are, since what meets at a key is verified anyway."""
+
+    def rows(columns: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["key", "fp", "root"])
+
+    def several(key: np.ndarray, root: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        return np.repeat(mixed, np.diff(np.append(starts, len(key))))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            columns = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            key = columns[0]
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))
+            if len(key) - cut > most:
+                yield rows(columns, several(key, columns[2]) | (key == key[-1]))
+                held = [x[:0] for x in columns]
+                continue
+            if cut:
+                yield rows([x[:cut] for x in columns], several(key[:cut], columns[2][:cut]))
+            held = [x[cut:] for x in columns]
+        if len(held[0]):
+            yield rows(held, several(held[0], held[2]))
+
+    return emit
 
 
 def near_components(fps: DataFrame) -> DataFrame:
     """(fp, root) of every distinct fingerprint: root is common to those linked by steps of 3 or fewer differing bits."""
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out anew before each explode, since few bytes of fingerprints would else be one task's.
     nodes = fps.select("fp").distinct()
-    flips = [0] + [(1 << k) if k < 63 else -(1 << 63) for k in range(64)]
-    ball = nodes.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in flips])).alias("variant"))
-    star = ball.withColumn("m", F.min("fp").over(Window.partitionBy("variant")))
+    star = balls(nodes.repartition(n), WHOLE_BALL).withColumn("m", F.min("fp").over(Window.partitionBy("key")))
     first = components(star.where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")))
     rooted = materialize(
         nodes.join(first, nodes["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted"
     )
-    high = F.shiftrightunsigned("fp", 32)
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    flag = F.lit(1 << 32)
-    own = rooted.select(F.explode(F.array(high, low.bitwiseOR(flag))).alias("key"), F.col("fp").alias("f1"), F.col("root").alias("r1"))
-    turns = [0] + [1 << k for k in range(32)]
-    halves = F.array(*[high.bitwiseXOR(F.lit(m).cast("long")) for m in turns], *[low.bitwiseOR(flag).bitwiseXOR(F.lit(m).cast("long")) for m in turns])
-    near = rooted.select(F.explode(halves).alias("key2"), "fp", "root")
-    met = near.join(own, (F.col("key") == F.col("key2")) & (F.col("root") > F.col("r1")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("f1"))) <= 3))
+    release(first)
+    near = balls(rooted.repartition(n), PARTIAL_BALLS).select("key", "fp", "root").repartition(n, "key").sortWithinPartitions("key")
+    mixed = materialize(near.mapInArrow(mixed_of(), "key long, fp long, root long"), "mixed")
+    other = mixed.select(F.col("key").alias("key2"), F.col("fp").alias("f1"), F.col("root").alias("r1"))
+    met = mixed.join(other, (F.col("key") == F.col("key2")) & (F.col("root") > F.col("r1")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("f1"))) <= 3))
     second = components(met.select(F.col("root").alias("a"), F.col("r1").alias("b")))
+    release(mixed)
     return rooted.join(second, rooted["root"] == second["node"], "left").select("fp", F.coalesce(second["root"], rooted["root"]).alias("root"))
 
 

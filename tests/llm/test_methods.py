@@ -336,6 +336,40 @@ def test_components_equal_all_pairs(spark, seed):
     assert {frozenset(g) for g in got.values()} == linked(fps)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 2)), max_size=40), st.integers(1, 7), st.integers(1, 50))
+def test_keys_of_one_component_are_dropped(rows, step, most):
+    import pyarrow as pa
+
+    rows = sorted((k, r) for k, r in rows)
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array(range(a, a + len(part)), pa.int64()), pa.array([x[1] for x in part], pa.int64())], names=["key", "fp", "root"])
+        for a in range(0, len(rows), step)
+        for part in [rows[a : a + step]]
+    ]
+    got = [f for b in simhash.mixed_of(most)(iter(batches)) for f in b.column(1).to_pylist()]
+    roots = defaultdict(set)
+    for k, r in rows:
+        roots[k].add(r)
+    size = Counter(k for k, _ in rows)
+    want = [f for f, (k, _) in enumerate(rows) if len(roots[k]) > 1]
+    assert set(want) <= set(got) and len(set(got)) == len(got)
+    assert all(len(roots[rows[f][0]]) > 1 or size[rows[f][0]] > most for f in got)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pairs_at_distance_three_meet(seed):
+    """Whatever three bits differ, some block left out leaves keys that share a variant."""
+    rng = np.random.default_rng(seed)
+    masks = [(kept & (1 << 64) - 1, m & (1 << 64) - 1) for kept, m in simhash.PARTIAL_BALLS]
+    for _ in range(100):
+        a = int(rng.integers(0, 1 << 63))
+        b = a
+        for k in rng.choice(64, 3, replace=False).tolist():
+            b ^= 1 << k
+        assert {a & kept ^ m for kept, m in masks} & {b & kept ^ m for kept, m in masks}
+
+
 def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000 + k, 1000) for k in range(1, 50)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
