@@ -152,18 +152,21 @@ def mixed_of(most: int = HELD):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3
+        over: int | None = None  # the key whose rows go out as they are
         for batch in batches:
             columns = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
             key = columns[0]
             if not len(key):
                 continue
             cut = int(np.searchsorted(key, key[-1]))
-            if len(key) - cut > most:
-                yield rows(columns, several(key, columns[2]) | (key == key[-1]))
+            keep = several(key, columns[2]) if over is None else several(key, columns[2]) | (key == over)
+            if len(key) - cut > most or key[-1] == over:
+                over = int(key[-1])
+                yield rows(columns, keep | (key == over))
                 held = [x[:0] for x in columns]
                 continue
             if cut:
-                yield rows([x[:cut] for x in columns], several(key[:cut], columns[2][:cut]))
+                yield rows([x[:cut] for x in columns], keep[:cut])
             held = [x[cut:] for x in columns]
         if len(held[0]):
             yield rows(held, several(held[0], held[2]))
