@@ -1,16 +1,17 @@
 """Hilbert-curve ordering of documents into equal-count shards, with DataFrame functions only.
 
-Three metadata dimensions (text size, language, source) are quantised to 2**bits cells at approximate quantiles of an
-order-preserving number, cells are visited along a Hilbert curve, and the curve is cut into runs whose row counts differ
+Three metadata dimensions (text size, language, source) are quantised to 2**bits cells at quantiles of the rows, strings in
+the order of their whole UTF-8 bytes; cells are visited along a Hilbert curve, and the curve is cut into runs whose row counts differ
 by at most one. A run covers a compact box of the metadata space, so min/max statistics of its files prune filters on
 any of the dimensions.
 
-Ranks are global yet no task sees an unbounded group: cells are split into hash sub-groups of bounded size, a table of
+Quantiles of a string dimension come from its distinct values, counted, dealt by ranges and summed along the ranges; only the
+cells' bounds come to the driver. Ranks are global yet no task sees an unbounded group: cells are split into hash sub-groups of bounded size, a table of
 at most ``cells + max_groups`` group counts is summed along the curve, and rows are numbered within their group.
 
-Defined cases: null text has size 1 and the checksum of the empty text; null lang or source sorts first; null doc_id is
-a value like any other; repeated rows are numbered separately; an empty table gives an empty result; extra columns are
-ignored.
+Defined cases: null text has size 1 and the checksum of the empty text; null lang or source sorts first; rows of null
+doc_id are spread over sub-groups by their place in the input, others by id, size and checksum; repeated rows are numbered
+separately; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semdex.llm.common import materialize
+from semdex.llm.common import materialize, release
 
 DIMS = 3
 
@@ -80,10 +81,23 @@ def hilbert_index(coords: list[Column], bits: int) -> Column:
     return F.aggregate(planes, start, step, lambda acc: acc["h"])
 
 
-def prefix_number(s: Column) -> Column:
-    """The first six UTF-8 bytes of a string as a number in byte order; null sorts first."""
-    hexed = F.rpad(F.hex(F.substring(F.encode(s, "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(hexed, 16, 10).cast("bigint"), F.lit(-1).cast("bigint"))
+def string_bounds(rows: DataFrame, names: list[str], total: int, cells: int) -> dict[str, list[str]]:
+    """For each string column the highest value of each cell; a value's cell is that of the first of its rows in order."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = None
+    for k, c in enumerate(names):
+        one = rows.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(k).alias("dim"), "value", "cnt")
+        counted = one if counted is None else counted.unionByName(one)
+    ranged = materialize(counted.repartitionByRange(n, "dim", "value").withColumn("range", F.spark_partition_id()), "values")
+    # One row for each range and column.
+    along = Window.partitionBy("dim").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("dim", "range").agg(F.sum("cnt").alias("own")).withColumn("before", F.coalesce(F.sum("own").over(along), F.lit(0)))
+    within = Window.partitionBy("dim", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    begin = F.col("before") + F.sum("cnt").over(within) - F.col("cnt")
+    placed = ranged.join(F.broadcast(sums.drop("own")), ["dim", "range"]).withColumn("begin", begin).withColumn("cell", F.expr(f"begin * {cells} div {max(total, 1)}"))
+    found = placed.groupBy("dim", "cell").agg(F.max("value").alias("bound")).collect()
+    release(ranged)
+    return {c: sorted((r["bound"] for r in found if r["dim"] == k and r["bound"] is not None), key=lambda x: x.encode("utf-8")) for k, c in enumerate(names)}
 
 
 def hilbert_shards(docs: DataFrame, num_shards: int = 16, bits: int = 4, max_groups: int = 65536, min_group: int = 512) -> DataFrame:
@@ -97,19 +111,20 @@ def hilbert_shards(docs: DataFrame, num_shards: int = 16, bits: int = 4, max_gro
             "doc_id",
             (F.octet_length(text).cast("bigint") + 1).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            prefix_number(F.col("lang")).alias("x1"),
-            prefix_number(F.col("source")).alias("x2"),
+            F.col("lang").cast("string").alias("x1"),
+            F.col("source").cast("string").alias("x2"),
+            F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("place"),
         ),
         "hilbert",
     )
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
     dims = ["size", "x1", "x2"]
-    found = slim.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, cuts, 10000).alias(c) for c in dims]).head()
-    total = found["n"]
+    total, sizes = slim.agg(F.count(F.lit(1)), F.percentile_approx("size", cuts, 10000)).head()
+    bounds = {"size": sorted(set(sizes or []))} | string_bounds(slim, ["x1", "x2"], total, 1 << bits)
 
     def quantised(c: str) -> Column:
-        bounds = sorted(set(found[c] or []))
-        return sum(((F.col(c) > b).cast("int") for b in bounds), F.lit(0))
+        # The highest bound has nothing above it.
+        return sum((F.coalesce(F.col(c) > b, F.lit(False)).cast("int") for b in bounds[c][: (1 << bits) - 1]), F.lit(0))
 
     curved = slim.withColumns({f"c{k}": quantised(c) for k, c in enumerate(dims)}).withColumn(
         "curve", hilbert_index([F.col(f"c{k}") for k in range(len(dims))], bits)
@@ -117,7 +132,7 @@ def hilbert_shards(docs: DataFrame, num_shards: int = 16, bits: int = 4, max_gro
     per_group = max(min_group, -(-total // max_groups))
     cells = curved.groupBy("curve").agg(F.ceil(F.count(F.lit(1)) / per_group).cast("bigint").alias("parts"))
     # At most 2**(bits * dims) rows: the number of cells, whatever the input.
-    placed = curved.join(F.broadcast(cells), "curve").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    placed = curved.join(F.broadcast(cells), "curve").withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "place"), F.col("parts")))
     counts = placed.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("cnt"))
     along = Window.orderBy("curve", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("curve", "part", F.coalesce(F.sum("cnt").over(along), F.lit(0)).alias("before"))

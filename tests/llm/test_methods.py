@@ -236,6 +236,29 @@ def test_shards_differ_by_one_row(docs, shards, per_group):
     assert all((s, c) == (len(text[i]) + 1, zlib.crc32(text[i])) for i, s, c in zip(out.doc_id, out["size"], out.text_crc32))
 
 
+def test_sources_of_one_prefix_have_cells_of_their_own(spark):
+    """Whole strings are ranked: sources that differ after many bytes lie in different cells, and in few shards each."""
+    rows = [(k, "same size", "en", f"https://site{k % 16:02}.org") for k in range(1600)] + [(None, "same size", None, None)] * 40
+    out = hilbert_sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_group=16).collect()
+    source = {k: s for k, _, _, s in rows}
+    where = defaultdict(set)
+    for r in out:
+        where[source[r["doc_id"]]].add(r["shard"])
+    assert len({r["curve"] for r in out}) >= 15 and max(map(len, where.values())) <= 3
+    count = Counter(r["shard"] for r in out)
+    assert max(count.values()) - min(count.values()) <= 1
+    assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n)) for s, n in count.items())
+
+
+def test_shards_equal_a_plain_walk_along_the_curve(spark, docs):
+    """Shard and slot by sorting all rows along the curve on one machine, with the operator's cells and groups."""
+    out = hilbert_sharding.hilbert_shards(docs, num_shards=7).toPandas()
+    n = len(out)
+    walk = out.sort_values(["shard", "slot"]).reset_index(drop=True)
+    assert (walk.curve.diff().dropna() >= 0).all()
+    assert (walk.shard == [k * 7 // n for k in range(n)]).all()
+
+
 def test_sharding_stays_out_of_python(docs):
     plan = hilbert_sharding.hilbert_shards(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
