@@ -11,8 +11,8 @@ The recursions of both passes are products of 2 x 2 matrices with resets between
 lengths runs as equal blocks in lockstep, exactly.
 
 Only rows whose crc32(doc_id) mod 5 is not 0 are learnt from; fitting takes at most ``max_toxic`` and ``max_clean``
-labelled documents, those with the least seeded hash of their id, one of each group of near copies. Every document is
-scored over its whole text.
+labelled documents of at most ``max_bytes`` each, those with the least seeded hash of their id, one of each group of near
+copies of a label, and stops adding documents of a label at half of ``max_words``. Every document is scored over its whole text.
 
 Defined cases: null, empty and blank texts have no tokens and get the score of no toxic token; without a toxic label every
 score is 0; null doc_id is held in (its text counts as empty); repeated rows are scored alike; an empty table gives an empty
@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +42,8 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PREFIXES = (3, 4, 5, 6, 7, 8)
 CACHE_WORDS = 500_000
 BATCH_TOKENS = GROUP_TOKENS = 200_000
+#: Words of the documents that fit the field and its calibration.
+MAX_WORDS = 400_000
 
 
 def token_features(word: str) -> tuple[str, ...]:
@@ -164,9 +166,15 @@ def tag_batch(model: Field, cache: Emissions, texts: list[list[str]]) -> tuple[n
     return sums, most, n, p
 
 
-def near_key(words: list[str]) -> tuple:
-    """The two least hashes of the distinct words: near copies mostly share them."""
-    return tuple(sorted(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(words))[:2])
+MIXERS = np.random.default_rng(SEED).integers(1 << 32, 1 << 62, 18, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def near_keys(words: list[str]) -> list[bytes]:
+    """Six keys of three min-hashes of the five-word shingles each: near copies (0.8 or more alike) share one in 98 cases of 100."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    h = np.array([xxhash.xxh64_intdigest(b" ".join(raw[k : k + 5])) for k in range(max(1, len(raw) - 4))], np.uint64)
+    least = [((h * m) ^ ((h * m) >> np.uint64(31))).min() for m in MIXERS]
+    return [bytes([k]) + np.array(least[3 * k : 3 * k + 3]).tobytes() for k in range(6)]
 
 
 def expected_gap(emit: np.ndarray, first: np.ndarray, start: float, trans: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -176,12 +184,13 @@ def expected_gap(emit: np.ndarray, first: np.ndarray, start: float, trans: np.nd
     ahead = beta[:, 1:][:, inner] * np.stack([np.ones(inner.sum()), np.exp(np.clip(emit[1:][inner], -30, 30))])
     joint = alpha[:, :-1][:, inner][:, None, :] * np.exp(trans)[:, :, None] * ahead[None]
     pairs = -(joint / joint.sum(axis=(0, 1))).sum(axis=2)
-    np.add.at(pairs, (tags[:-1][inner].astype(int), tags[1:][inner].astype(int)), 1)
+    pairs += np.bincount(2 * tags[:-1][inner] + tags[1:][inner], minlength=4).reshape(2, 2)
     return tags - p, float((tags[first] - p[first]).sum()), pairs
 
 
-def fit_field(docs: list[list[str]], toxic: np.ndarray, steps: int = 120, decay: float = 0.02) -> Field:
-    """Label tokens from the documents' labels, then maximise their likelihood by Adam."""
+def fit_field(docs: list[list[str]], toxic: np.ndarray, steps: int = 80, decay: float = 0.02) -> Field:
+    """Label tokens from the documents' labels, then maximise their likelihood by Adam, until the gradient has fallen to a
+    hundredth or the steps are used up."""
     found = [Counter(), Counter()]
     for words, y in zip(docs, toxic):
         found[int(y)].update({f for w in set(words) for f in token_features(w)})
@@ -217,6 +226,7 @@ def fit_field(docs: list[list[str]], toxic: np.ndarray, steps: int = 120, decay:
     theta[len(own)] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     scale = max(1.0, tags.sum())
+    steepest = 0.0
     for t in range(1, steps + 1):
         per_word = np.bincount(of_word, theta[flat_], len(vocabulary)) + theta[len(own)]
         g_word, g_start, g_pair = np.zeros(len(vocabulary)), 0.0, np.zeros((2, 2))
@@ -226,6 +236,10 @@ def fit_field(docs: list[list[str]], toxic: np.ndarray, steps: int = 120, decay:
             g_start, g_pair = g_start + at_start, g_pair + pairs
         g = np.concatenate([np.bincount(flat_, g_word[of_word], len(own)), [g_word.sum(), g_start], g_pair.ravel()])
         g = g / scale - decay * np.append(theta[: len(own)], np.zeros(6)) * 0.05
+        slope = float(np.sqrt(g @ g))
+        steepest = max(steepest, slope)
+        if slope <= 0.01 * steepest:
+            break
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta += 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     model.weights = {f: float(theta[k]) for f, k in own.items() if abs(theta[k]) > 1e-3}
@@ -246,13 +260,20 @@ def fit_scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Field:
-    """Two thirds of the documents (after near copies are reduced to one) fit the field, the others its calibration."""
-    kept: dict[tuple, tuple[list[str], int]] = {}
+def fit(rows: Iterable[tuple[str | None, int]], max_words: int = MAX_WORDS) -> Field:
+    """Two thirds of the documents (after near copies of a label are reduced to one) fit the field, the others its calibration."""
+    seen: set[tuple[int, bytes]] = set()
+    docs, toxic, room = [], [], [max_words // 2, max_words // 2]
     for text, y in rows:
         words = (text or "").split()
-        kept.setdefault(near_key(words), (words, int(y)))
-    docs, toxic = [w for w, _ in kept.values()], np.array([y for _, y in kept.values()], np.int64)
+        keys = {(int(y), k) for k in near_keys(words)}
+        if len(words) > room[int(y)] or keys & seen:
+            continue
+        seen |= keys
+        room[int(y)] -= len(words)
+        docs.append(words)
+        toxic.append(int(y))
+    toxic = np.array(toxic, np.int64)
     if not toxic.sum():
         return Field()
     rank = np.empty(len(toxic), np.int64)
@@ -269,75 +290,81 @@ def fit(rows: list[tuple[str | None, int]]) -> Field:
     return model
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 2400) -> Field:
-    """Fit on a bounded sample of labelled documents; the bounds hold for the sample only."""
+def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000, max_bytes: int = 16384, max_words: int = MAX_WORDS) -> Field:
+    """Fit on a bounded sample of labelled documents, of rows that share an id the least text; the bounds hold for the sample
+    only, and (max_toxic + max_clean) * max_bytes bounds what comes to the driver."""
     train = labels.where((remainder(F.col("doc_id"), 5) != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     order = F.xxhash64(F.lit(SEED), "doc_id")
     chosen = None
     for y, limit in ((1, max_toxic), (0, max_clean)):
-        some = train.where(F.col("toxic") == y).select("doc_id", "toxic").distinct().orderBy(order, "doc_id").limit(limit)
+        some = train.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.col("toxic") == y).orderBy(order, "doc_id").limit(limit)
         chosen = some if chosen is None else chosen.unionByName(some)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id", F.xxhash64("text")).limit(2 * (max_toxic + max_clean))
-    return fit([(r["text"], r["toxic"]) for r in found.collect()])
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    # At most max_toxic + max_clean ids.
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(order, "doc_id")
+    return fit(((r["text"], r["toxic"]) for r in found.collect()), max_words)
 
 
-def in_batches(texts: pd.Series) -> Iterator[list[list[str]]]:
-    group, size = [], 0
+def in_batches(texts: Iterable[str | None]) -> Iterator[tuple[list[str | None], list[list[str]]]]:
+    """Groups of texts with their words, of about BATCH_TOKENS words."""
+    group, own, size = [], [], 0
     for text in texts:
         words = (text or "").split()
         if group and size + len(words) > BATCH_TOKENS:
-            yield group
-            group, size = [], 0
+            yield own, group
+            group, own, size = [], [], 0
         group.append(words)
+        own.append(text)
         size += len(words)
     if group:
-        yield group
-
+        yield own, group
 
-def scored(docs: DataFrame, model: Field) -> DataFrame:
-    """doc_id and score of every document."""
-    kind = docs.schema["doc_id"].dataType
-
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Emissions(model)
-        for pdf in batches:
-            parts = [model.score(*tag_batch(model, cache, group)[:3]) for group in in_batches(pdf["text"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.concatenate([np.empty(0), *parts])})
 
-    cast = small_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cast.mapInPandas(compute, "doc_id string, score double").select(F.col("doc_id").cast(kind), "score")
+Span = tuple[int, int, float]
 
 
-def spans(text: str | None, model: Field, least: float = 0.5) -> list[tuple[int, int, float]]:
-    """Character offsets [begin, end) of maximal runs of tokens at or above a probability, with the run's highest."""
-    found = [(m.start(), m.end()) for m in re.finditer(r"\S+", text or "")]
-    words = [text[a:b] for a, b in found]
-    if not words:
+def spans_at(text: str | None, p: np.ndarray, least: float = 0.5) -> list[Span]:
+    """Character offsets [begin, end) of maximal runs of words at or above a probability, with the run's highest; p: of each word."""
+    if not len(p) or p.max() < least:
         return []
-    p = tag_batch(model, Emissions(model), [words])[3]
-    out: list[tuple[int, int, float]] = []
-    for k, (a, b) in enumerate(found):
+    out: list[Span] = []
+    for k, m in enumerate(re.finditer(r"\S+", text)):
         if p[k] >= least:
             if k and p[k - 1] >= least:
-                out[-1] = (out[-1][0], b, max(out[-1][2], float(p[k])))
+                out[-1] = (out[-1][0], m.end(), max(out[-1][2], float(p[k])))
             else:
-                out.append((a, b, float(p[k])))
+                out.append((m.start(), m.end(), float(p[k])))
     return out
 
 
+def spans(text: str | None, model: Field, least: float = 0.5) -> list[Span]:
+    return spans_at(text, tag_batch(model, Emissions(model), [(text or "").split()])[3], least)
+
+
+SCORED = "score double, spans array<struct<begin: long, end: long, p: double>>"
+
+
 def tagged(docs: DataFrame, model: Field) -> DataFrame:
-    """doc_id and the array of its toxic spans (begin, end, probability)."""
+    """doc_id, score and toxic spans (begin, end, probability) of every document, from one run of marginals."""
     kind = docs.schema["doc_id"].dataType
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = Emissions(model)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": [[{"begin": a, "end": b, "p": p} for a, b, p in spans(t, model)] for t in pdf["text"]]})
+            scores, found = [np.empty(0)], []
+            for texts, group in in_batches(pdf["text"]):
+                sums, most, n, p = tag_batch(model, cache, group)
+                scores.append(model.score(sums, most, n))
+                ends = np.cumsum(n)
+                for k, text in enumerate(texts):
+                    own = spans_at(text, p[ends[k] - n[k] : ends[k]]) if most[k] >= 0.5 else ()
+                    found.append([{"begin": a, "end": b, "p": x} for a, b, x in own])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.concatenate(scores), "spans": pd.Series(found, index=pdf.index, dtype=object)})
 
-    cast = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cast.mapInPandas(compute, "doc_id string, spans array<struct<begin: long, end: long, p: double>>").withColumn("doc_id", F.col("doc_id").cast(kind))
+    cast = small_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return cast.mapInPandas(compute, "doc_id string, " + SCORED).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return scored(docs, fit_on(docs, labels)).select(
-        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    held_out, predicted = remainder(F.col("doc_id"), 5) == 0, F.col("score") >= THRESHOLD
+    return tagged(docs, fit_on(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", predicted.cast("int").alias("predicted"), "spans")

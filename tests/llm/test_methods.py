@@ -1,6 +1,7 @@
 """The operators against brute-force versions, exact round trips and held-out accuracy."""
 
 import hashlib
+import itertools
 import pickle
 import re
 import zlib
@@ -294,6 +295,36 @@ def test_toxicity_on_held_out_labels(spark, labels):
     assert (got.predicted == got.toxic).mean() > 0.95 and got.predicted[got.toxic == 1].mean() > 0.6
 
 
+def test_scores_equal_enumeration(spark):
+    """Score and spans of documents from sums over all taggings of each."""
+    model = crf.Field({"bad": 4.0, "^bad": 1.5, "good": -2.0}, -2.5, -0.3, np.array([[0.2, -0.4], [-0.1, 0.9]]), np.array([-3.0, 2.0, 1.0, 0.7]), True)
+    texts = ["a bad, baddest good bad", "good", "", None, "bad bad\tx  bad", "none of it is here"]
+    got = crf.tagged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for text, row in zip(texts, got):
+        words = (text or "").split()
+        weight, mass = 0.0, np.zeros(len(words))
+        for tags in itertools.product((0, 1), repeat=len(words)):
+            x = sum(model.emission(w) for w, y in zip(words, tags) if y) + (model.start if tags and tags[0] else 0.0)
+            x += sum(model.trans[a, b] for a, b in zip(tags, tags[1:]))
+            weight += np.exp(x)
+            mass += np.exp(x) * np.array(tags)
+        p = mass / weight
+        x = [1, np.log1p(p.sum()), p.max(initial=0), np.log1p(min(10, 100 * p.sum() / max(1, len(words))))]
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-np.dot(x, model.scale))), abs=1e-9)
+        inside = [any(s["begin"] <= m.start() < s["end"] for s in row["spans"]) for m in re.finditer(r"\S+", text or "")]
+        assert inside == (p >= 0.5).tolist()
+
+
+def test_the_fitting_sample_is_bounded_and_repeats_do_not_push_ids_out(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(crf, "fit", lambda rows, most: seen.extend(rows))
+    rows = [(k, f"text {k} {c}") for k in range(40) for c in "ba"] + [(40, "x" * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    crf.fit_on(docs, spark.createDataFrame([(k, 1, k % 2) for k in range(41)], "doc_id long, quality int, toxic int"), 100, 100, max_bytes=100)
+    learnt = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(seen) == sorted((f"text {k} a", k % 2) for k in learnt)
+
+
 def test_spans_are_offsets(spark, docs, labels):
     model = crf.fit_on(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
     text = "A calm start, you stupid idiot! And a calm end."
