@@ -9,8 +9,8 @@ the least ratio, over score thresholds, of the unlabelled to the positive share
 Only rows whose crc32(doc_id) mod 4 is not 2 are learnt from. Fitting takes at most ``max_positive`` and
 ``max_unlabelled`` documents, those with the least seeded hash of their id; every document is scored, over its whole text.
 
-Defined cases: null text counts as empty, and an empty text gets a score like any other; without trusted positives every
-score is 0.5; null doc_id is held in and scored; repeated rows are scored alike; an empty table gives an empty result; extra
+Defined cases: null text counts as empty, and an empty text gets a score like any other; without trusted positives there is
+no verdict: every score is the threshold, and every document is kept; null doc_id is held in and scored; repeated rows are scored alike; an empty table gives an empty result; extra
 columns are ignored. labels, lang, source and doc_id are never inputs of a score.
 """
 
@@ -175,7 +175,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unl
 
 def model_scores(model: Model | None, texts: list[str | None]) -> np.ndarray:
     if model is None:
-        return np.full(len(texts), 0.5)
+        return np.full(len(texts), THRESHOLD)
     parts = [model.score(np.stack([features(t) for t in texts[k : k + 1000]])) for k in range(0, len(texts), 1000)]
     return np.concatenate([np.empty(0), *parts])
 

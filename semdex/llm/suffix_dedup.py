@@ -21,7 +21,7 @@ documents hold does not gather in one task; documents and their intervals meet b
 
 Defined cases: null text is empty; a null doc_id counts as larger than any other; rows equal in doc_id and text are one
 document and get the same result; rows of equal doc_id and different texts are ordered by a hash of the text; a text of any length
-is read in segments; an empty table gives an empty result; extra columns are ignored.
+is read in segments; doc_id of another type than an integer is refused; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from semdex.llm.common import materialize, sliced, small_batches
 from semdex.llm.induced_sort import repeated
@@ -423,6 +423,8 @@ def finished_of(with_text: bool):
 
 def keyed(docs: DataFrame, *more) -> DataFrame:
     """d: doc_id, or the largest long if null; th: the text's hash, which tells texts of one doc_id apart."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id orders the documents and has to be an integer")
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     text = F.col("text").cast("string")
     return docs.select(d.alias("d"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
