@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semdex.functions.binding import let
-from semdex.functions.text import tokens
 
 
 class Embedder(Protocol):
@@ -27,9 +30,35 @@ class Embedder(Protocol):
         """The vector of one query text."""
 
 
+#: White space that parts tokens, as in functions.text.tokens.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Tokens whose buckets a task remembers.
+KNOWN_TOKENS = 500_000
+
+
+class Buckets(dict):
+    """Bucket of a token by its md5, remembered until there are too many."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= KNOWN_TOKENS:
+            self.clear()
+        found = self[token] = int(hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % self.dim
+        return found
+
+    def counts(self, text: str | None) -> np.ndarray:
+        text = (text or "").lower()
+        # str.split also parts at the separators U+001C to U+001F, which are no blanks here.
+        words = filter(None, BLANKS.split(text)) if SEPARATORS.search(text) else text.split()
+        return np.bincount(np.fromiter(map(self.__getitem__, words), np.int64), minlength=self.dim).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class HashEmbedder:
-    """Token counts by the md5 bucket of the lower-case token: no model and no network, all in built-in functions."""
+    """Token counts by the md5 bucket of the lower-case token: no model and no network."""
 
     dim: int = 64
 
@@ -37,38 +66,33 @@ class HashEmbedder:
     def name(self) -> str:
         return f"hash-{self.dim}"
 
-    def bucket(self, token: Column) -> Column:
-        return F.pmod(F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(self.dim)).cast("int")
-
     def vector(self, text: Column) -> Column:
-        """Bucket counts. Sorted buckets form runs; a run's length is the distance of its start from the next, so a text
-        of n tokens costs n log n. Lambda variables hold what is used twice, wherever the optimizer puts the expression."""
-
-        def counts(s: Column) -> Column:
-            begins = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), F.struct(x.alias("b"), i.alias("i")))), lambda r: r.isNotNull())
+        """Bucket counts, a batch at a time: most tokens are frequent, and their buckets are looked up."""
+        dim = self.dim
 
-            def spread(runs: Column) -> Column:
-                ends = lambda k: F.coalesce(F.get(runs, k + 1)["i"], F.size(s))
-                sized = F.map_from_entries(F.transform(runs, lambda r, k: F.struct(r["b"], (ends(k) - r["i"]).cast("float"))))
-                return let(sized, lambda m: F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda b: F.coalesce(F.element_at(m, b), F.lit(0).cast("float"))))
-
-            return let(begins, spread)
+        @F.arrow_udf("array<float>")
+        def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            buckets = Buckets(dim)
+            for batch in batches:
+                flat = [buckets.counts(t.as_py()) for t in batch]
+                offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * dim)
+                yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.float32), *flat])))
 
-        return let(F.sort_array(F.transform(tokens(F.lower(text)), self.bucket)), counts)
+        return vectors(text)
 
     def column(self, df: DataFrame, text: Column, out: str) -> DataFrame:
         return df.withColumn(out, self.vector(text))
 
     def one(self, spark, text: str) -> list[float]:
-        return [float(x) for x in spark.range(1).select(self.vector(F.lit(text)).alias("v")).head()["v"]]
+        return Buckets(self.dim).counts(text).tolist()
 
 
 @dataclass(frozen=True)
 class HttpEmbedder:
     """A remote model: POST {input, model}, answered by {data: [{embedding, index}]}; batches run in parallel by partition.
 
-    Answers are put in order by index, and one that is shorter than the batch is an error. There is one attempt a batch;
-    a failed task is Spark's to retry.
+    Answers are put in order by index, and one that is shorter than the batch is an error. A batch whose connection fails, or that
+    is answered 429 or 5xx, is sent again up to max_retries times, after pauses that double.
     """
 
     endpoint: str
@@ -76,6 +100,8 @@ class HttpEmbedder:
     api_key: str | None = None
     batch_size: int = 32
     timeout: float = 30
+    max_retries: int = 0
+    pause: float = 0.5
 
     @property
     def name(self) -> str:
@@ -85,11 +111,18 @@ class HttpEmbedder:
         body = json.dumps({"input": texts, "model": self.model}).encode()
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
         request = urllib.request.Request(self.endpoint, body, headers)
-        try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-                data = json.load(reply)["data"]
-        except urllib.error.HTTPError as e:
-            raise RuntimeError(f"embedding failed with status {e.code}: {e.read().decode(errors='replace')}") from None
+        for turn in range(self.max_retries + 1):
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                    data = json.load(reply)["data"]
+                break
+            except urllib.error.HTTPError as e:
+                if turn == self.max_retries or (e.code != 429 and e.code < 500):
+                    raise RuntimeError(f"embedding failed with status {e.code}: {e.read().decode(errors='replace')}") from None
+            except urllib.error.URLError:
+                if turn == self.max_retries:
+                    raise
+            time.sleep(self.pause * 2**turn)
         vectors = [d["embedding"] for d in sorted(data, key=lambda d: d.get("index", 0))]
         if len(vectors) != len(texts):
             raise RuntimeError(f"{len(vectors)} embeddings for {len(texts)} texts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -28,8 +29,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def literal(v: Sequence[float]) -> Column:
-    """A vector as one literal, folded before the scan starts."""
-    return F.array(*[F.lit(float(x)) for x in v])
+    """A vector as one literal, folded before the scan starts; as text, so that the JVM builds it in one call."""
+    numbers = [repr(x) + "D" if math.isfinite(x) else f"double('{x}')" for x in map(float, v)]
+    return F.expr(f"array({', '.join(numbers)})") if numbers else F.array().cast("array<double>")
 
 
 def cosine_to(v: Column, query: Sequence[float]) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from semdex.functions.similarity import comparable, cosine, cosine_to, passes
+from semdex.functions.similarity import comparable, cosine_to, doubles, passes
 from semdex.functions.text import path_contains
 
 
@@ -96,19 +96,6 @@ def overfetch_search(chunks: DataFrame, manifest: DataFrame, query: Sequence[flo
     return ranked(fetched.join(known, "file_path", "left_semi"), k)
 
 
-def batch_search(chunks: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """The k best chunks of each query (query_id, query_vector), ranked from 1.
-
-    Queries are few; they meet all chunks by a nested loop whose broadcast Spark decides by size, and each partition keeps
-    k rows of a query before the shuffle.
-    """
-    q = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
-    pairs = chunks.join(q, F.lit(True)).withColumn("score", comparable(cosine(F.col("vector"), F.col("query_vector"))))
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "file_path", "chunk_index")
-    hits = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return hits.where(passes(F.col("score"), least)).drop("query_vector")
-
-
 def matrix_of(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of unit length in doubles, and which rows are of dim finite components and not zero; others are zero rows."""
     sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
@@ -125,43 +112,57 @@ def matrix_of(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, good
 
 
-def batch_search_arrow(chunks: DataFrame, queries: DataFrame, k: int, least: float = -1.0, keys: Sequence[str] = ("file_path", "chunk_index"), max_queries: int = 4096) -> DataFrame:
-    """query_id, keys, score and rank of the k best chunks of each query, by matrix products over Arrow batches.
+def batch_search(chunks: DataFrame, queries: DataFrame, k: int, least: float = -1.0, keys: Sequence[str] = ("file_path", "chunk_index"), part_rows: int = 16384) -> DataFrame:
+    """query_id, keys, score and rank of the k best chunks of each query (query_id, query_vector), by matrix products.
 
-    Each batch keeps the k best rows of a query, and rows equal to the last of them, so the shuffle has few. Scores are
-    rounded to 12 decimals, ties go by the keys. Queries are counted first: up to max_queries go along with the tasks; more
-    are taken in blocks of that many, a pass over the vectors each.
+    Vectors are dealt to parts of about part_rows; a part's vectors stay in one task and the queries stream by, so memory follows
+    neither the number of queries nor that of vectors. A part keeps a query's k best rows, and rows equal to the last of them.
+    Scores are rounded to 12 decimals; ties go by the keys.
     """
-    rows = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
-    blocks = max(1, -(-rows.count() // max_queries))
-    schema = T.StructType([rows.schema["query_id"], *(chunks.schema[c] for c in keys), T.StructField("score", T.DoubleType())])
-    found = None
-    for b in range(blocks):
-        asked = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        one = chunks.select("vector", *keys).mapInArrow(_best_of(asked, k, to_arrow_type(rows.schema["query_id"].dataType)), schema)
-        found = one if found is None else found.unionByName(one)
+    parts = max(1, -(-chunks.count() // part_rows))
+    place = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("part")
+    rows = chunks.select(place, F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), doubles(F.col("vector")).alias("vector"), F.struct(*keys).alias("keys"), F.lit(0).alias("turn"))
+    no_keys = F.lit(None).cast(rows.schema["keys"].dataType).alias("keys")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    asked = queries.select(every, "query_id", doubles(F.col("query_vector")).alias("vector"), no_keys, F.lit(1).alias("turn"))
+    line = rows.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "turn")
+    schema = T.StructType([queries.schema["query_id"], T.StructField("keys", rows.schema["keys"].dataType), T.StructField("score", T.DoubleType())])
+    found = line.mapInArrow(_best_of(k, to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(rows.schema["keys"].dataType)), schema)
+    found = found.select("query_id", "keys.*", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *keys)
-    ranked_ = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked_.where(passes(F.col("score"), least))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).where(passes(F.col("score"), least))
 
 
-def _best_of(asked: list, k: int, id_type: pa.DataType):
-    ids = np.array([r["query_id"] for r in asked], object)
-    dim = max((len(r["query_vector"] or ()) for r in asked), default=0)
-    q, known = matrix_of(pa.array([r["query_vector"] for r in asked], pa.list_(pa.float64())), dim)
+def _best_of(k: int, id_type: pa.DataType, key_type: pa.DataType, block: int = 512):
+    """Of rows (part, query_id, vector, keys, turn) sorted by part and turn: a part's vectors, then its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, 2_000_000 // max(1, len(ids)))
+        here, held, own = None, [], None
         for whole in batches:
-            for a in range(0, whole.num_rows if len(ids) and dim else 0, step):
-                batch = whole.slice(a, step)
-                v, good = matrix_of(batch.column(0), dim)
-                scores = np.where(good[:, None] & known, np.round(v @ q.T, 12), -np.inf)
-                last = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(len(ids), -np.inf)
-                at, of = np.nonzero((scores >= last) & np.isfinite(scores))
-                picked = batch.select(range(1, batch.num_columns)).take(pa.array(at))
-                columns = [pa.array(ids[of].tolist(), id_type), *picked.columns, pa.array(scores[at, of])]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", *picked.schema.names, "score"])
+            part, turn = whole.column(0).to_numpy(), whole.column(4).to_numpy()
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(turn) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), whole.num_rows]):
+                if a == b:
+                    continue
+                if part[a] != here:
+                    here, held, own = part[a], [], None
+                if turn[a] == 0:
+                    held.append(whole.slice(a, b - a).select([2, 3]))
+                    continue
+                if own is None:
+                    own = pa.Table.from_batches(held).combine_chunks() if held else None
+                    if own is not None:
+                        vectors, keys = own.column(0).combine_chunks(), own.column(1).combine_chunks()
+                        dims = int(pc.max(pc.list_value_length(vectors)).as_py() or 0)
+                        v, good = matrix_of(vectors, dims)
+                for c in range(a, b if own is not None and dims else a, block):
+                    batch = whole.slice(c, min(block, b - c))
+                    q, known = matrix_of(batch.column(2), dims)
+                    scores = np.where(known[:, None] & good, np.round(q @ v.T, 12), -np.inf)
+                    last = np.partition(scores, -k, axis=1)[:, -k] if len(good) > k else np.full(len(q), -np.inf)
+                    of, at = np.nonzero((scores >= last[:, None]) & np.isfinite(scores))
+                    ids = batch.column(1).take(pa.array(of)).cast(id_type)
+                    yield pa.RecordBatch.from_arrays([ids, keys.take(pa.array(at)).cast(key_type), pa.array(scores[of, at])], ["query_id", "keys", "score"])
 
     return run
 

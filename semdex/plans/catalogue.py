@@ -100,25 +100,18 @@ for _name, _part in (("path_contains", "/l3/"), ("path_wildcard", "l_/f1%.t"), (
 @C.add(
     with_views(
         "idx",
-        """, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id IN (0, 1, 2, 3, 4)),
+        """, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
     p AS (SELECT query_id, file_path, chunk_index, list_cosine_similarity(vector::DOUBLE[], qv) AS s FROM idx CROSS JOIN q),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, file_path, chunk_index) AS rank FROM p)
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, file_path, chunk_index) AS rank FROM p)
     SELECT query_id, rank::INTEGER AS rank, file_path, chunk_index, round(s, 6) AS score FROM r WHERE rank <= 5""",
     )
 )
 def batch_topk_per_query(spark: SparkSession, d: str) -> DataFrame:
-    q = T(spark, d, "embeddings").where(F.col("vec_id").isin(0, 1, 2, 3, 4)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    q = T(spark, d, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     found = search.batch_search(views.idx(spark, d), q, 5)
     return found.select("query_id", "rank", "file_path", "chunk_index", F.round("score", 6).alias("score"))
 
 
-@C.add(C.sql["batch_topk_per_query"])
-def batch_topk_arrow(spark: SparkSession, d: str) -> DataFrame:
-    q = T(spark, d, "embeddings").where(F.col("vec_id").isin(0, 1, 2, 3, 4)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    found = search.batch_search_arrow(views.idx(spark, d), q, 5)
-    return found.select("query_id", "rank", "file_path", "chunk_index", F.round("score", 6).alias("score"))
-
-
 # --- Dates ---------------------------------------------------------------------------------------------------------
 
 
@@ -171,10 +164,6 @@ def relative_dates(spark: SparkSession, d: str) -> DataFrame:
 OWN = "(SELECT file_path FROM idx WHERE vec_id = 0)"
 
 
-def _own_path(spark: SparkSession, d: str) -> str:
-    return views.idx(spark, d).where(F.col("vec_id") == 0).head()["file_path"]
-
-
 def _scores(df: DataFrame) -> DataFrame:
     return df.select("file_path", F.round("score", 6).alias("score"))
 
@@ -187,7 +176,8 @@ def _scores(df: DataFrame) -> DataFrame:
     )
 )
 def similar_files(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(similar.similar_files(views.idx(spark, d), views.query_vector(spark, d), _own_path(spark, d)))
+    own, query = views.query_row(spark, d)
+    return _scores(similar.similar_files(views.idx(spark, d), query, own))
 
 
 @C.add(
@@ -198,8 +188,8 @@ def similar_files(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def similar_excludes_self(spark: SparkSession, d: str) -> DataFrame:
-    found = search.vector_search(views.idx(spark, d), views.query_vector(spark, d), 20, 0.0)
-    return _scores(similar.best_per_file(found, _own_path(spark, d), 10))
+    own, query = views.query_row(spark, d)
+    return _scores(similar.best_per_file(search.vector_search(views.idx(spark, d), query, 20, 0.0), own, 10))
 
 
 @C.add(
@@ -318,9 +308,9 @@ def snapshot_apply_delta(spark: SparkSession, d: str) -> DataFrame:
     return diff.apply_delta(old, state.where(F.col("status").isin("modified", "deleted")), added)
 
 
-@C.add(with_views("doc", "SELECT count(DISTINCT file_path) AS refreshed FROM doc WHERE doc_id % 3 = 0"))
+@C.add(with_views("doc", "SELECT count(DISTINCT file_path) AS refreshed FROM doc WHERE trim(text) <> ''"))
 def refreshed_files(spark: SparkSession, d: str) -> DataFrame:
-    return stats.refreshed_files(views.doc(spark, d).where(F.col("doc_id") % 3 == 0))
+    return stats.refreshed_files(chunking.chunked(views.doc(spark, d)))
 
 
 # --- Routing -------------------------------------------------------------------------------------------------------
@@ -521,7 +511,7 @@ def hash_search_benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
     embedder = HashEmbedder(DIM)
     docs = embedder.column(T(spark, d, "documents"), F.col("text"), "vector").select("doc_id", "vector")
     asked = embedder.column(T(spark, d, "benchmark"), F.col("text"), "query_vector").select("item_id", "query_vector")
-    best = search.batch_search_arrow(docs, asked.withColumnRenamed("item_id", "query_id"), 3, keys=["doc_id"])
+    best = search.batch_search(docs, asked.withColumnRenamed("item_id", "query_id"), 3, keys=["doc_id"])
     return best.select(F.col("query_id").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -34,7 +34,7 @@ class IndexStats:
 
 def http_embedder(config: Config) -> HttpEmbedder:
     e = config.embedding
-    return HttpEmbedder(e.endpoint, e.model, e.api_key, e.batch_size, e.timeout_seconds)
+    return HttpEmbedder(e.endpoint, e.model, e.api_key, e.batch_size, e.timeout_seconds, e.max_retries)
 
 
 def all_chunks(texts: DataFrame, config: Config) -> DataFrame:

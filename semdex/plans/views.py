@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+_schemas: dict[tuple[str, str], StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is read from the files once an application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(key[1]).schema
+    return spark.read.schema(_schemas[key]).parquet(key[1])
 
 
 def idx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +62,10 @@ def manifest_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     """One stored vector as a query."""
-    row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").head()
-    return list(row["embedding"])
+    return query_row(spark, sf_dir, vec_id)[1]
+
+
+def query_row(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> tuple[str, list[float]]:
+    """Path and vector of one stored chunk."""
+    row = idx(spark, sf_dir).where(F.col("vec_id") == vec_id).select("file_path", "vector").head()
+    return row["file_path"], list(row["vector"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from semdex import config as C
 from semdex.functions.dates import parse_date
-from semdex.functions.embedding import HashEmbedder
+from semdex.functions.embedding import HashEmbedder, HttpEmbedder
 from semdex.functions.similarity import cosine, cosine_to, passes
 from semdex.functions.text import extension, path_contains, trim_unicode, truncate_utf8
 from semdex.operators.search import SearchOptions, date_passes, plan_fetch, resolve_rerank
@@ -121,16 +121,49 @@ def test_config_paths(tmp_path):
         C.Chunking(max_chunk_tokens=10, overlap_tokens=10)
 
 
-@pytest.mark.parametrize("max_queries", [4096, 2])
-def test_batch_search_by_matrix(spark, max_queries):
-    from semdex.operators.search import batch_search, batch_search_arrow
+@pytest.mark.parametrize("part_rows", [4096, 2])
+def test_batch_search_by_matrix(spark, part_rows):
+    """Against sorting all pairs; vectors and queries that are null, zero, not finite or of another size match nothing."""
+    import numpy as np
 
-    nan = float("nan")
-    vectors = [[1.0, 0.0], [0.5, 0.5], [0.5, 0.5], [0.0, 0.0], [nan, 1.0], None, [1.0], [-1.0, 0.2], [2.0, 2.0]]
+    from semdex.operators.search import batch_search
+
+    vectors = [[1.0, 0.0], [0.5, 0.5], [0.5, 0.5], [0.0, 0.0], [float("nan"), 1.0], None, [1.0], [-1.0, 0.2], [2.0, 2.0]]
+    asked = {1: [1.0, 1.0], 2: [1.0, 0.0], 3: [0.0, -1.0], 4: [0.0, 0.0], 5: None}
     chunks = spark.createDataFrame([(f"/f{k % 4}", k, v) for k, v in enumerate(vectors)], "file_path string, chunk_index long, vector array<double>")
-    queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, -1.0]), (4, [0.0, 0.0]), (5, None)], "query_id int, query_vector array<double>")
-    show = lambda df: sorted((r["query_id"], r["rank"], r["file_path"], r["chunk_index"], round(r["score"], 9)) for r in df.collect())
-    usable = chunks.where("size(vector) = 2")
-    want = show(batch_search(usable, queries.where("query_vector IS NOT NULL"), 3, -0.5))
-    assert show(batch_search_arrow(chunks, queries, 3, -0.5, max_queries=max_queries)) == want and len(want) > 5
-    assert batch_search_arrow(chunks.limit(0), queries, 3).count() == 0 and batch_search_arrow(chunks, queries.limit(0), 3).count() == 0
+    queries = spark.createDataFrame(list(asked.items()), "query_id int, query_vector array<double>")
+    usable = [(f"/f{k % 4}", k, np.array(v)) for k, v in enumerate(vectors) if v is not None and len(v) == 2 and np.isfinite(v).all() and any(v)]
+    want = []
+    for q, x in asked.items():
+        if x and any(x):
+            best = sorted((-round(float(v @ x / np.linalg.norm(v) / np.linalg.norm(x)), 12), p, k) for p, k, v in usable)[:3]
+            want += [(q, rank + 1, p, k, round(-s, 9)) for rank, (s, p, k) in enumerate(best) if -s >= -0.5]
+    got = [(r["query_id"], r["rank"], r["file_path"], r["chunk_index"], round(r["score"], 9)) for r in batch_search(chunks, queries, 3, -0.5, part_rows=part_rows).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 5
+    assert batch_search(chunks.limit(0), queries, 3).count() == 0 and batch_search(chunks, queries.limit(0), 3).count() == 0
+
+
+def test_buckets_part_at_blanks_only():
+    from semdex.functions.embedding import Buckets
+
+    assert Buckets(1).counts("a\x1cb c\u2003d\x85e\n").tolist() == [4.0] and Buckets(4).counts(None).tolist() == [0.0] * 4
+
+
+def test_remote_embedder_tries_again(monkeypatch):
+    import io
+    import urllib.error
+
+    answers = [urllib.error.URLError("down"), urllib.error.HTTPError("u", 503, "busy", {}, io.BytesIO(b"wait")), b'{"data": [{"embedding": [1.0], "index": 0}]}']
+
+    def reply(request, timeout):
+        got = answers.pop(0)
+        if isinstance(got, Exception):
+            raise got
+        return io.BytesIO(got)
+
+    monkeypatch.setattr("urllib.request.urlopen", reply)
+    assert HttpEmbedder("http://x", "m", max_retries=2, pause=0).embed(["a"]) == [[1.0]]
+    answers[:] = [urllib.error.HTTPError("u", 400, "bad", {}, io.BytesIO(b"no such model"))] * 2
+    with pytest.raises(RuntimeError, match="status 400: no such model"):
+        HttpEmbedder("http://x", "m", max_retries=2, pause=0).embed(["a"])
+    assert len(answers) == 1
