@@ -31,6 +31,7 @@ class Chunking:
     max_file_size_mb: int = 10
     use_syntax: bool = True
     languages: list[str] = field(default_factory=lambda: ["rust", "python", "javascript", "typescript", "go"])
+    # Kept so that files with the key load and show it; a file without syntax chunks is always split as text.
     fallback_to_tokens: bool = True
     rescue_oversized: bool = False
 
@@ -59,6 +60,8 @@ class Query:
 
 @dataclass
 class Display:
+    """Kept so that files with these keys load and show them; output has no colours, and scores are always shown."""
+
     show_similarity_scores: bool = True
     color_output: bool = True
 

@@ -88,14 +88,27 @@ def packed(segments: Column, max_tokens: int, overlap: int) -> Column:
     return F.aggregate(measured, start, step, flushed)
 
 
-def chunked(files: DataFrame, config: Chunking | None = None) -> DataFrame:
-    """file_path, chunk_index, content, token_count of files (file_path, text); files without text have no rows."""
-    config = config or Chunking()
-    text = F.when(trim_unicode(F.col("text")) != "", F.col("text"))
-    pieces = packed(split_segments(file_type(F.col("file_path")), text), config.max_chunk_tokens, config.overlap_tokens)
-    return files.select("file_path", F.posexplode(pieces).alias("chunk_index", "piece")).select(
+def pieces(path: Column, text: Column, config: Chunking) -> Column:
+    """Array of (content, n, context) of a file's split text; null where the text is blank."""
+    found = packed(split_segments(file_type(path), F.when(trim_unicode(text) != "", text)), config.max_chunk_tokens, config.overlap_tokens)
+    return F.transform(found, lambda p: F.struct(p["content"].alias("content"), p["n"].alias("n"), F.lit("").alias("context")))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """file_path, chunk_index, content, context, token_count of files (file_path, pieces).
+
+    The outer form, since for the inner one the optimizer adds a filter on the size of the pieces, which makes them twice.
+    """
+    return files.select("file_path", F.posexplode_outer("pieces").alias("chunk_index", "piece")).where("piece IS NOT NULL").select(
         "file_path",
         F.col("chunk_index").cast("bigint").alias("chunk_index"),
         F.col("piece.content").alias("content"),
+        F.col("piece.context").alias("context"),
         F.col("piece.n").cast("bigint").alias("token_count"),
     )
+
+
+def chunked(files: DataFrame, config: Chunking | None = None) -> DataFrame:
+    """file_path, chunk_index, content, token_count of files (file_path, text); files without text have no rows."""
+    own = files.select("file_path", pieces(F.col("file_path"), F.col("text"), config or Chunking()).alias("pieces"))
+    return numbered(own).drop("context")

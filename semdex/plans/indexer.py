@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -15,9 +17,10 @@ from semdex.functions.embedding import Embedder, HttpEmbedder
 from semdex.functions.text import chunk_id, embedded_text, trim_unicode
 from semdex.operators import chunking, diff, stats
 from semdex.plans.store import Meta, Store
-from semdex.schema import MANIFEST
 from semdex.sources import code, crawl
 
+LOG = logging.getLogger("semdex")
+
 
 @dataclass(frozen=True)
 class IndexStats:
@@ -38,14 +41,13 @@ def http_embedder(config: Config) -> HttpEmbedder:
 
 
 def all_chunks(texts: DataFrame, config: Config) -> DataFrame:
-    """Chunks of files (file_path, text): syntax chunks where a file has them, split text for the others."""
+    """Chunks of files (file_path, text) in one pass: syntax chunks where a file has them, split text for the others."""
     readable = texts.where(trim_unicode(F.col("text")) != "")
-    plain = lambda df: chunking.chunked(df, config.chunking).withColumn("context", F.lit(""))
-    if not config.chunking.use_syntax:
-        return plain(readable)
-    syntax = code.code_chunks(readable, config.chunking)
-    rest = readable.join(syntax.select("file_path").distinct(), "file_path", "left_anti")
-    return syntax.unionByName(plain(rest))
+    plain = chunking.pieces(F.col("file_path"), F.col("text"), config.chunking)
+    found = plain
+    if config.chunking.use_syntax:
+        found = F.coalesce(code.syntax_pieces(F.col("file_path"), F.col("text"), config.chunking), plain)
+    return chunking.numbered(readable.select("file_path", found.alias("pieces")))
 
 
 class Indexer:
@@ -56,30 +58,41 @@ class Indexer:
         self.store = Store(spark, self.root)
 
     def refresh(self, quiet: bool = False) -> int:
-        """Bring the index up to date; how many files got chunks.
+        """Bring the index up to date with the file tree; how many files got chunks.
 
         quiet prints nothing and refuses to drop an index of another schema version. Any failure leaves the last snapshot.
         Files that cannot be read are not in the manifest, so the next run tries them again.
         """
+        files = crawl.crawl(self.spark, self.root, self.config.indexing)
+        return self.refresh_from(files, lambda changed: crawl.read_texts(changed, self.config.chunking.max_file_size_mb), quiet)
+
+    def refresh_from(self, files: DataFrame, read: Callable[[DataFrame], DataFrame], quiet: bool = False) -> int:
+        """The same for any table of files (file_path, modified_ns, ...): read gives the changed ones a text or a problem."""
         meta = self.store.meta()
         if quiet and meta is not None and meta.schema_version != SCHEMA_VERSION:
             raise RuntimeError(f"index schema is outdated (v{meta.schema_version} vs current v{SCHEMA_VERSION}); index {self.root} again to migrate")
         if self.store.migrate() and not quiet:
             print(f"Index schema is outdated; rebuilding from scratch (schema v{SCHEMA_VERSION}).")
-        old = self.store.manifest()
-        files = crawl.crawl(self.spark, self.root, self.config.indexing)
-        state = diff.classify(files, old).cache()
+        cached: list[DataFrame] = []
+
+        def kept(df: DataFrame) -> DataFrame:
+            cached.append(df.cache())
+            return df
+
         try:
+            state = kept(diff.classify(files, self.store.manifest()))
+            counts = {r["status"]: r["count"] for r in state.groupBy("status").count().collect()}
+            LOG.info("%s: files %s", self.root, counts)
+            if self.store.meta() is not None and not set(counts) - {"unchanged"}:
+                return 0
             changed = files.join(state.where(F.col("status").isin("new", "modified")), "file_path", "left_semi")
             gone = state.where(F.col("status").isin("modified", "deleted"))
-            if not state.where(F.col("status") != "unchanged").head(1) and meta is not None:
-                return 0
-            texts = crawl.read_texts(changed, self.config.chunking.max_file_size_mb).cache()
+            texts = kept(read(changed))
             cut = all_chunks(texts.where(F.col("problem").isNull()), self.config)
             vectors = self.embedder.column(cut, embedded_text(F.col("context"), F.col("content")), "vector")
             times = texts.select("file_path", "modified_ns")
             mtime = F.timestamp_micros(F.expr("modified_ns div 1000"))
-            fresh = vectors.join(times, "file_path").select(
+            fresh = kept(vectors.join(times, "file_path").select(
                 chunk_id(F.col("file_path"), F.col("chunk_index"), F.col("content")).alias("id"),
                 F.col("vector").cast("array<float>").alias("vector"),
                 "file_path",
@@ -88,24 +101,23 @@ class Indexer:
                 "context",
                 F.col("token_count").cast("bigint").alias("token_count"),
                 mtime.alias("mtime"),
-            ).cache()
-            dims = fresh.agg(F.min(F.size("vector")), F.max(F.size("vector")), F.countDistinct("file_path")).head()
-            if dims[0] is not None:
-                if dims[0] != dims[1]:
-                    raise RuntimeError(f"the embedder gave vectors of {dims[0]} to {dims[1]} dimensions")
-                self.store.check(dims[0], self.embedder.name)
+            ))
+            low, high, refreshed = fresh.agg(F.min(F.size("vector")), F.max(F.size("vector")), F.countDistinct("file_path")).head()
+            if low is not None:
+                if low != high:
+                    raise RuntimeError(f"the embedder gave vectors of {low} to {high} dimensions")
+                self.store.check(low, self.embedder.name)
             ids = fresh.groupBy("file_path").agg(F.collect_list("id").alias("chunk_ids"))
             entries = texts.where(F.col("problem").isNull()).join(ids, "file_path", "left").select(
                 "file_path", "modified_ns", mtime.alias("modified_at"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids")
             )
-            manifest = diff.without_files(old, gone).select(MANIFEST.names).unionByName(entries)
-            dim = dims[0] if dims[0] is not None else (self.store.meta().dim if self.store.meta() else None)
-            self.store.commit(diff.apply_delta(self.store.chunks(), gone, fresh), manifest, Meta(SCHEMA_VERSION, dim, self.embedder.name))
-            fresh.unpersist()
-            texts.unpersist()
-            return dims[2]
+            dim = low if low is not None else meta.dim if meta else None
+            self.store.commit(fresh, entries, gone, Meta(SCHEMA_VERSION, dim, self.embedder.name))
+            LOG.info("%s: %d files got chunks", self.root, refreshed)
+            return refreshed
         finally:
-            state.unpersist()
+            for df in cached:
+                df.unpersist()
 
     def rebuild(self) -> int:
         self.store.wipe()

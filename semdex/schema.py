@@ -28,6 +28,9 @@ MANIFEST = T.StructType(
     ]
 )
 
+#: The manifest as stored, with the part of the index that holds a file's chunks.
+PLACED = T.StructType([*MANIFEST.fields, T.StructField("part", T.StringType(), False)])
+
 #: A crawled file before and after reading.
 FILES = T.StructType(
     [

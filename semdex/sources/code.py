@@ -9,18 +9,19 @@ from __future__ import annotations
 
 import ast
 import bisect
+import logging
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semdex.config import Chunking
+from semdex.operators.chunking import numbered
 from semdex.operators.routing import language
 
-SCHEMA = "file_path string, chunk_index long, content string, context string, token_count long"
+LOG = logging.getLogger("semdex")
 
 
 @dataclass
@@ -36,7 +37,7 @@ class Item:
 def python_items(source: str) -> list[Item] | None:
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     lines = source.splitlines(keepends=True)
     raw = [line.encode() for line in lines]
@@ -53,22 +54,25 @@ def python_items(source: str) -> list[Item] | None:
             k -= 1
         return "\n".join(line.strip() for line in lines[k : first_line - 1])
 
-    def visit(nodes: list) -> list[Item]:
+    def members(body: list) -> list[Item]:
+        """Functions and classes of a body and of the statements in it, in order; a stack, so that depth costs no recursion."""
         found = []
-        for node in nodes:
+        waiting = list(reversed(body))
+        while waiting:
+            node = waiting.pop()
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 top = min([node.lineno, *(d.lineno for d in node.decorator_list)])
                 line = lines[top - 1]
                 begin = starts[top - 1] + len(line) - len(line.lstrip())
                 is_class = isinstance(node, ast.ClassDef)
                 found.append(
-                    Item("class" if is_class else "fn", node.name, begin, at(node.end_lineno, node.end_col_offset), lead(top), visit(node.body) if is_class else [])
+                    Item("class" if is_class else "fn", node.name, begin, at(node.end_lineno, node.end_col_offset), lead(top), members(node.body) if is_class else [])
                 )
-            else:
-                found += visit([c for c in ast.iter_child_nodes(node)])
+            elif not isinstance(node, ast.expr):
+                waiting += reversed([c for c in ast.iter_child_nodes(node) if not isinstance(c, ast.expr)])
         return found
 
-    return visit(tree.body)
+    return members(tree.body)
 
 
 PAIRS = {"(": ")", "[": "]", "{": "}"}
@@ -95,6 +99,7 @@ class Scan:
 
         self.text = LEX[lang].sub(mask, source)
         self.partner: dict[int, int] | None = {}
+        self.opening: dict[int, int] = {}
         stack: list[int] = []
         for k, ch in enumerate(self.text):
             if ch in PAIRS:
@@ -103,6 +108,7 @@ class Scan:
                 if not stack or PAIRS[self.text[stack[-1]]] != ch:
                     self.partner = None
                     return
+                self.opening[k] = stack[-1]
                 self.partner[stack.pop()] = k
         if stack:
             self.partner = None
@@ -191,7 +197,7 @@ def rust_items(scan: Scan, low: int, high: int) -> list[Item]:
                 top = scan.source.rfind(doc.split("\n")[0], low, top)
             before = scan.text[low:top].rstrip()
             if before.endswith("]"):
-                opened = next((a for a, b in scan.partner.items() if b == low + len(before) - 1), None)
+                opened = scan.opening.get(low + len(before) - 1)
                 if opened is not None and opened > low and scan.text[opened - 1] == "#":
                     lead.insert(0, scan.source[opened - 1 : low + len(before)])
                     top = opened - 1
@@ -329,18 +335,31 @@ def chunks_of(source: str, lang: str, config: Chunking) -> list[tuple[str, str,
     return out or None
 
 
-def code_chunks(files: DataFrame, config: Chunking | None = None) -> DataFrame:
-    """Syntax chunks of files (file_path, text) in a supported language; files without any have no rows."""
-    config = config or Chunking()
-    known = files.select("file_path", "text", language(F.col("file_path")).alias("lang"))
+PIECES = "array<struct<content: string, n: int, context: string>>"
+
+
+def syntax_pieces(path: Column, text: Column, config: Chunking) -> Column:
+    """Array of (content, n, context) of a file in a supported language; null where it has no syntax chunks. Other files' texts do
+    not go to Python, and a file that the parser fails on counts as one without items."""
     wanted = set(config.languages) | ({"tsx"} if "typescript" in config.languages else set())
+    lang = language(path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, text, lang in zip(pdf["file_path"], pdf["text"], pdf["lang"]):
-                for k, (content, context, n) in enumerate(chunks_of(text or "", lang, config) or []):
-                    rows.append((path, k, content, context, n))
-            yield pd.DataFrame(rows, columns=["file_path", "chunk_index", "content", "context", "token_count"])
+    @F.pandas_udf(PIECES)
+    def found(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        out: list[list[dict] | None] = []
+        for source, name in zip(texts, langs):
+            chunks = None
+            if source is not None:
+                try:
+                    chunks = chunks_of(source, name, config)
+                except (RecursionError, ValueError, IndexError, KeyError) as e:
+                    LOG.warning("a %s file has no syntax chunks: %s", name, e)
+            out.append(None if chunks is None else [{"content": c, "n": n, "context": where} for c, where, n in chunks])
+        return pd.Series(out, dtype=object)
 
-    return known.where(F.col("lang").isin(*wanted)).mapInPandas(run, SCHEMA)
+    return found(F.when(lang.isin(*wanted), text), lang)
+
+
+def code_chunks(files: DataFrame, config: Chunking | None = None) -> DataFrame:
+    """Syntax chunks of files (file_path, text) in a supported language; files without any have no rows."""
+    return numbered(files.select("file_path", syntax_pieces(F.col("file_path"), F.col("text"), config or Chunking()).alias("pieces")))

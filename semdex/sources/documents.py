@@ -17,12 +17,13 @@ LEAST_PDF_BYTES = 200
 
 
 def heading_level(style: str) -> int:
-    """Title is 1, Heading 1 to 6 their number, anything else 0."""
-    if style == "Title":
+    """Title (in any case) is 1, Heading or heading with a number from 1 to 6 that number, anything else 0; white space around
+    either part does not count."""
+    style = style.strip()
+    if style.lower() == "title":
         return 1
-    if m := re.fullmatch(r"[Hh]eading\s*([1-6])\s*", style):
-        return int(m[1])
-    return 0
+    m = re.fullmatch(r"[Hh]eading\s*\+?0*([1-6])", style)
+    return int(m[1]) if m else 0
 
 
 class DocxText:

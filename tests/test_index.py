@@ -182,3 +182,44 @@ def test_streaming_ingest(spark, tmp_path):
 def test_store_of_nothing(spark, tmp_path):
     s = Store(spark, tmp_path)
     assert s.count() == 0 and s.meta() is None and s.size_on_disk() == 0
+
+
+def test_a_run_writes_what_changed_and_parts_are_merged(spark, tmp_path):
+    """Old parts stay as they are while mostly live; a mostly dead part and too many parts are merged; every state reads right."""
+    from pyspark.sql import Row
+
+    from semdex.plans import store as stored
+
+    texts, ix = {f"/f{k}": f"text {k}" for k in range(20)}, Indexer(spark, tmp_path, Config(), HashEmbedder(8))
+    clock = {p: 1000 for p in texts}
+
+    def run():
+        rows = [Row(file_path=p, modified_ns=clock[p], size=1, text=t, problem=None) for p, t in texts.items()]
+        files = spark.createDataFrame(rows, "file_path string, modified_ns long, size long, text string, problem string")
+        ix.refresh_from(files, lambda changed: changed, quiet=True)
+        assert {r["file_path"]: r["content"] for r in ix.store.chunks().collect()} == texts
+        assert {r["file_path"] for r in ix.store.manifest().collect()} == set(texts) and ix.store.count() == len(texts)
+        return ix.store.meta()
+
+    first = run()
+    base = next(iter(first.parts))
+    for turn in range(stored.MAX_PARTS + 2):
+        texts[f"/f{turn % 3}"], clock[f"/f{turn % 3}"] = f"turn {turn}", 2000 + turn
+        meta = run()
+        assert base in meta.parts and meta.dead[:1] == [base] and len(meta.parts) <= stored.MAX_PARTS
+    for k in range(3, 16):
+        del texts[f"/f{k}"]
+    meta = run()
+    assert base not in meta.parts and not meta.dead
+    listed = {n for m in (tmp_path / ".semdex" / "snapshots").glob("*/meta.json") for n in json.loads(m.read_text())["parts"]}
+    assert {p.name for p in (tmp_path / ".semdex" / "chunks").iterdir()} == listed
+
+
+def test_sources_are_parsed_once(spark, tmp_path):
+    files = spark.createDataFrame([("/a.py", "def f():\n    pass\n"), ("/b.py", "x = 1\n"), ("/c.txt", "plain")], "file_path string, text string")
+    from semdex.plans.indexer import all_chunks
+
+    cut = all_chunks(files, Config())
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    assert {(r["file_path"], r["context"], r["content"]) for r in cut.collect()} == {("/a.py", "fn::f", "def f():\n    pass"), ("/b.py", "", "x = 1"), ("/c.txt", "", "plain")}

@@ -169,3 +169,23 @@ func Free() string { return "}" }
 '''
     assert contexts(source, "go") == ["const::Limit", "var::a", "type::Point", "method::Get", "fn::Free"]
     assert code.chunks_of(source, "go", Chunking())[3][0].startswith("// Get gets.\nfunc (p")
+
+
+def test_deep_sources_fall_back_or_parse():
+    """A long sum is one expression and no recursion of ours; what the parser itself refuses has no items."""
+    long_sum = "x = " + "+".join(["1"] * 3000) + "\n\ndef f():\n    if x:\n        def g():\n            pass\n"
+    got = code.python_items(long_sum)
+    assert got is None or [i.name for i in got] == ["f"]
+    nested = "if x:\n    try:\n        def a():\n            pass\n    except E:\n        class B:\n            def m(self):\n                pass\n"
+    items = code.python_items(nested)
+    assert [(i.kind, i.name, [m.name for m in i.members]) for i in items] == [("fn", "a", []), ("class", "B", ["m"])]
+
+
+@pytest.mark.parametrize(
+    "style,level",
+    [("Title", 1), ("title", 1), (" TITLE ", 1), ("Heading1", 1), (" Heading2", 2), ("heading 3 ", 3), ("Heading 06", 6), ("Heading7", 0), ("HEADING1", 0), ("Headings1", 0), ("", 0)],
+)
+def test_heading_styles(style, level):
+    from semdex.sources.documents import heading_level
+
+    assert heading_level(style) == level
