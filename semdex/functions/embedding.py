@@ -107,15 +107,15 @@ class HttpEmbedder:
     def name(self) -> str:
         return self.model
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def send(self, texts: list[str]) -> list[dict]:
+        """The answer's rows, in the order they come."""
         body = json.dumps({"input": texts, "model": self.model}).encode()
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
         request = urllib.request.Request(self.endpoint, body, headers)
         for turn in range(self.max_retries + 1):
             try:
                 with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-                    data = json.load(reply)["data"]
-                break
+                    return json.load(reply)["data"]
             except urllib.error.HTTPError as e:
                 if turn == self.max_retries or (e.code != 429 and e.code < 500):
                     raise RuntimeError(f"embedding failed with status {e.code}: {e.read().decode(errors='replace')}") from None
@@ -123,7 +123,10 @@ class HttpEmbedder:
                 if turn == self.max_retries:
                     raise
             time.sleep(self.pause * 2**turn)
-        vectors = [d["embedding"] for d in sorted(data, key=lambda d: d.get("index", 0))]
+        return []
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        vectors = [d["embedding"] for d in sorted(self.send(texts), key=lambda d: d.get("index", 0))]
         if len(vectors) != len(texts):
             raise RuntimeError(f"{len(vectors)} embeddings for {len(texts)} texts")
         return vectors

@@ -13,7 +13,7 @@ from semdex.functions.similarity import comparable, cosine, literal, passes
 from semdex.functions.text import embedded_text, extension, human_size, token_count, tokens, truncate_utf8
 from semdex.operators import chunking, diff, rerank, routing, search, similar, stats
 from semdex.plans import views
-from semdex.sources import code, documents, html
+from semdex.sources import documents, html
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,14 +87,23 @@ def vector_negative_floor(spark: SparkSession, d: str) -> DataFrame:
     return hits(search.vector_search(views.idx(spark, d), views.query_vector(spark, d), 20, 0.0))
 
 
-def _path_query(part: str) -> Query:
-    return lambda spark, d: hits(search.vector_search(views.idx(spark, d), views.query_vector(spark, d), 15, -1.0, part))
+def _path_query(part: str, put: str | None = None) -> Query:
+    """put: what stands for /f in the paths."""
 
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = views.idx(spark, d)
+        rows = rows if put is None else rows.withColumn("file_path", F.replace("file_path", F.lit("/f"), F.lit(put)))
+        return hits(search.vector_search(rows, views.query_vector(spark, d), 15, -1.0, part))
+
+    return run
 
-for _name, _part in (("path_contains", "/l3/"), ("path_wildcard", "l_/f1%.t"), ("path_quote", "it's"), ("path_backslash", "l1\\f")):
-    C.queries[_name] = _path_query(_part)
+
+for _name, _part, _put in (("path_contains", "/l3/", None), ("path_wildcard", "l_/f1%.t", None), ("path_quote", "it's", "/it's f"), ("path_backslash", "l1\\f", "\\f")):
+    C.queries[_name] = _path_query(_part, _put)
     _literal = ("%" + _part + "%").replace("'", "''").replace("\\", "\\\\")
-    C.sql[_name] = with_views("idx scored", f"{SQL_HIT} FROM scored WHERE file_path LIKE '{_literal}' ESCAPE '\\' {ORDER} LIMIT 15")
+    _path = "file_path" if _put is None else "replace(file_path, '/f', '{}')".format(_put.replace("'", "''"))
+    _from = f", p AS (SELECT * REPLACE ({_path} AS file_path) FROM scored)"
+    C.sql[_name] = with_views("idx scored", f"{_from} {SQL_HIT} FROM p WHERE file_path LIKE '{_literal}' ESCAPE '\\' {ORDER} LIMIT 15")
 
 
 @C.add(
@@ -357,7 +366,7 @@ _TRIMMED = "list_filter(list_transform({}, lambda s: trim(s, E' \\n\\t\\r')), la
 
 
 def _split(df: DataFrame, parts) -> DataFrame:
-    return df.select("doc_id", F.posexplode(parts(F.col("text"))).alias("pos", "segment"))
+    return df.select("doc_id", F.posexplode_outer(parts(F.col("text"))).alias("pos", "segment")).where("pos IS NOT NULL")
 
 
 def _split_sql(view: str, parts: str) -> str:
@@ -402,7 +411,7 @@ _WIN = f"CASE WHEN len(w) <= {MAX_TOKENS} THEN 1 ELSE ceil((len(w) - {MAX_TOKENS
 )
 def token_window(spark: SparkSession, d: str) -> DataFrame:
     toks = tokens(F.col("text"))
-    rows = views.doc(spark, d).select("doc_id", F.posexplode(chunking.windows(toks, MAX_TOKENS, OVERLAP)).alias("pos", "w"))
+    rows = views.doc(spark, d).select("doc_id", F.posexplode_outer(chunking.windows(toks, MAX_TOKENS, OVERLAP)).alias("pos", "w"))
     return rows.select("doc_id", "pos", F.array_join("w", " ").alias("content"))
 
 
@@ -539,52 +548,75 @@ def human_sizes(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "documents").select("doc_id", human_size(n).alias("size"))
 
 
-@C.add()
+@C.add(
+    with_views(
+        "idx scored",
+        f""", t AS (SELECT * FROM scored {ORDER} LIMIT 10)
+    SELECT to_json({{'file_path': file_path, 'chunk_index': chunk_index, 'score': round(s, 6), 'context': '', 'content': ''}})::VARCHAR AS result FROM t""",
+    )
+)
 def result_json(spark: SparkSession, d: str) -> DataFrame:
     found = search.vector_search(views.idx(spark, d), views.query_vector(spark, d), 10, -1.0)
-    return search.result_rows(found.drop("vector")).select(F.to_json(F.struct("*")).alias("result"))
+    return search.result_rows(found.drop("vector")).withColumn("score", F.round("score", 6)).select(F.to_json(F.struct("*")).alias("result"))
 
 
 # --- Extraction ----------------------------------------------------------------------------------------------------
 
 
-@C.add()
+# The rules of whole-page markdown over the tags that these pages have; chr(1) is a block break.
+_MARKDOWN = """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<head>.*</head>|<!DOCTYPE[^>]*>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM {}),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(h, '[ \\n\\t\\r]+', ' ', 'g'), '</?(p|div|article|ul|nav|footer)( [^>]*)?>|</(h1|li)>', chr(1), 'g') AS h FROM a),
+    c AS (SELECT page_id, replace(regexp_replace(regexp_replace(h, '<li>', chr(1) || '- ', 'g'), '<h1>', chr(1) || '# ', 'g'), '<br>', chr(10)) AS h FROM b),
+    d AS (SELECT page_id, replace(regexp_replace(h, '<[^>]*>', '', 'g'), chr(1) || ' ', chr(1)) AS h FROM c),
+    e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS h FROM d),
+    f AS (SELECT page_id, regexp_replace(regexp_replace(h, '[ ' || chr(10) || chr(1) || ']*' || chr(1) || '[' || chr(1) || ']*', chr(10) || chr(10), 'g'), ' *[|]* *(' || chr(10) || '|$)', '\\1', 'g') AS h FROM e)
+    SELECT page_id, trim(regexp_replace(h, '\\n{{3,}}', chr(10) || chr(10), 'g'), E' \\n') AS markdown FROM f"""
+
+
+@C.add(_MARKDOWN.format("pages"))
 def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "pages").select("page_id", html.markdown(F.col("html")).alias("markdown"))
 
 
-@C.add()
+# The main content of these pages is their article, which starts with a heading.
+_ARTICLES = "(SELECT page_id, regexp_extract(html, '(?s)<article>.*</article>') AS html FROM pages)"
+
+
+@C.add(
+    f"""WITH w AS ({_MARKDOWN.format("pages")}), b AS ({_MARKDOWN.format(_ARTICLES)}),
+    n AS (SELECT page_id, w.markdown AS w, b.markdown AS b, octet_length(encode(w.markdown)) AS nw, octet_length(encode(b.markdown)) AS nb FROM w JOIN b USING (page_id))
+    SELECT page_id, nullif(CASE WHEN nb >= 200 AND nb * 20 >= nw THEN b ELSE w END, '') AS text FROM n"""
+)
 def html_readable(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "pages").select("page_id", html.extracted(F.col("html")).alias("text"))
 
 
 @C.add(
-    """WITH b AS (SELECT page_id, repeat('x', (page_id % 40 * 10)::INTEGER) AS body, repeat('y', (page_id * 37 % 9000)::INTEGER) AS whole FROM pages)
-    SELECT page_id, octet_length(encode(body)) >= 200 AND octet_length(encode(body)) * 20 >= octet_length(encode(whole)) AS wins FROM b"""
+    f"""WITH w AS ({_MARKDOWN.format("pages")}), b AS ({_MARKDOWN.format(_ARTICLES)})
+    SELECT page_id, octet_length(encode(b.markdown)) >= 200 AND octet_length(encode(b.markdown)) * 20 >= octet_length(encode(w.markdown)) AS wins FROM w JOIN b USING (page_id)"""
 )
 def html_gate(spark: SparkSession, d: str) -> DataFrame:
-    body = F.repeat(F.lit("x"), (F.col("page_id") % 40 * 10).cast("int"))
-    whole = F.repeat(F.lit("y"), (F.col("page_id") * 37 % 9000).cast("int"))
-    return T(spark, d, "pages").select("page_id", html.readable_wins(body, whole).alias("wins"))
+    article = F.regexp_extract("html", "(?s)<article>.*</article>", 0)
+    return T(spark, d, "pages").select("page_id", html.readable_wins(html.markdown(article), html.markdown(F.col("html"))).alias("wins"))
 
 
-@C.add()
+@C.add(
+    """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    p AS (SELECT doc_id, list_transform(l, lambda x, i: CASE WHEN trim(x, E' \\t\\r') = '' THEN '' WHEN i = 1 THEN '# ' || trim(x, E' \\t\\r') ELSE trim(x, E' \\t\\r') END) AS p FROM l)
+    SELECT doc_id, nullif(array_to_string(list_filter(p, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM p"""
+)
 def docx_extract(spark: SparkSession, d: str) -> DataFrame:
     return documents.docx_round_trip(T(spark, d, "documents"))
 
 
-@C.add()
+@C.add(
+    """WITH t AS (SELECT doc_id, trim(coalesce(text, ''), E' \\n\\t\\r') AS t FROM documents)
+    SELECT doc_id, CASE WHEN octet_length(encode(t)) >= 200 THEN t END AS text FROM t"""
+)
 def pdf_extract(spark: SparkSession, d: str) -> DataFrame:
     return documents.pdf_round_trip(T(spark, d, "documents"))
 
 
-@C.add()
-def code_chunks_python(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat(F.lit("# about\n@wrapped\ndef f"), F.col("doc_id"), F.lit("(a):\n    return a\n\nclass C"), F.col("doc_id"), F.lit(":\n    def m(self):\n        return 1\n"))
-    files = T(spark, d, "documents").select(F.concat(F.lit("/p/"), F.col("doc_id"), F.lit(".py")).alias("file_path"), body.alias("text"))
-    return code.code_chunks(files)
-
-
 def queries() -> dict[str, Query]:
     return dict(C.queries)
 

@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from semdex.plans import catalogue
+from semdex.plans import catalogue, contracts
 
+QUERIES, SQL = catalogue.queries() | contracts.queries(), catalogue.oracle_sql() | contracts.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -22,16 +23,15 @@ def rows(df):
     return df[cols].astype(str).sort_values(cols).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", list(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", list(SQL))
 def test_equals_sql(spark, duck, sf, name):
-    got, want = rows(catalogue.queries()[name](spark, sf).toPandas()), rows(duck.sql(catalogue.oracle_sql()[name]).df())
+    got, want = rows(QUERIES[name](spark, sf).toPandas()), rows(duck.sql(SQL[name]).df())
     assert list(got.columns) == list(want.columns)
     assert got.equals(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_has_rows(spark, sf, name):
-    assert catalogue.queries()[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_path_filter_reaches_the_scan(spark, sf, tmp_path):
@@ -48,4 +48,27 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(catalogue.queries()) <= set(__spark_entry__.queries())
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_a_missing_library_is_no_silence(monkeypatch):
+    """Only the absence of the training subpackage leaves its queries out."""
+    import builtins
+
+    import __spark_entry__
+
+    real = builtins.__import__
+
+    def without(missing):
+        def load(name, *args, **kwargs):
+            if name == "corpus_pipeline":
+                raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+            return real(name, *args, **kwargs)
+
+        return load
+
+    monkeypatch.setattr(builtins, "__import__", without("corpus_pipeline"))
+    assert __spark_entry__._training() == []
+    monkeypatch.setattr(builtins, "__import__", without("xxhash"))
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__._training()
