@@ -27,6 +27,9 @@ is read in segments; doc_id of another type than an integer is refused; an empty
 from __future__ import annotations
 
 import hashlib
+import os
+import struct
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +40,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
 
 from semdex.llm.common import materialize, sliced, small_batches
-from semdex.llm.induced_sort import repeated
+from semdex.llm.induced_sort import Scratch, repeated
 
 LENGTH = 100
 GRAM = 32
 SEGMENT = 1 << 20
 GROUP = 4 << 20
-SHARD = 2 << 20
+SHARD = 4 << 20
+#: Tuples that a queue of the sort holds in memory, and the most substrings or names it sorts at once.
+QUEUE = 1 << 18
+IN_MEMORY = 1 << 21
+#: Texts of a core that are recognised when they come again, and rows that are read back at once.
+KNOWN = 20_000
+ROWS = 1 << 16
 BROADCAST = 10_000
 LAST = (1 << 63) - 1
 
@@ -312,66 +321,95 @@ def windows_of(length: int):
 
 
 INTERVAL_SCHEMA = "d long, th long, at long, ends long"
-
-
-def sorted_of(length: int, shard: int = SHARD, limit: int = 1 << 24, base: int = 1 << 22):
-    """Intervals that repeat among texts sorted by (core, d, th, at): whole cores gather up to about ``shard`` bytes, whose text
-    is suffix-sorted. A core's texts lie in document order, so the earliest equal window is the least position. A text equal
-    to an earlier one of its core repeats in full, unless it is the same place of a repeated row."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [r[4] for r in rows]
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).copy()
-        starts = np.cumsum(sizes) - sizes
-        # Bytes shift by one, so that 0 ends contexts only; UTF-8 has no byte above 244.
-        symbols[np.setdiff1d(np.arange(len(symbols)), starts + sizes - 1, assume_unique=True)] += 1
-        windows = np.array([r[3] - r[2] for r in rows], np.int64)
-        counted = np.zeros(len(symbols) + 1, np.int32)
-        counted[starts] += 1
-        np.subtract.at(counted, starts + windows, 1)
-        found = np.sort(np.concatenate([np.empty(0, np.int64), *repeated(symbols, length, np.cumsum(counted)[:-1] > 0, limit, base)]))
-        context = np.searchsorted(starts, found, "right") - 1
-        lo = np.array([r[2] for r in rows], np.int64)
-        begin = found - starts[context] + lo[context]
-        if len(found):
-            context, begin, end = runs(context, begin, begin + length)
-        else:
-            end = begin
-        d, th = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(d[context]), pa.array(th[context]), pa.array(begin), pa.array(end)], names=["d", "th", "at", "ends"]
-        )
+#: Bytes move up by one, so that 0 ends texts only; UTF-8 has no byte above 244.
+SHIFTED = bytes(min(k + 1, 255) for k in range(256))
+
+
+class Shard:
+    """Texts of whole cores on the task's disk: shifted bytes with 0 after each, and (d, th, at, ends, start) of each."""
+
+    def __init__(self, directory: str):
+        self.symbols = open(os.path.join(directory, "symbols"), "w+b")
+        self.rows = open(os.path.join(directory, "rows"), "w+b")
+        self.size = self.count = 0
+
+    def add(self, d: int, th: int, at: int, ends: int, raw: bytes) -> None:
+        self.rows.write(struct.pack("=5q", d, th, at, ends, self.size))
+        self.symbols.write(raw.translate(SHIFTED) + b"\0")
+        self.size += len(raw) + 1
+        self.count += 1
+
+    def cut_to(self, count: int, size: int) -> None:
+        """Take back what came after."""
+        self.count, self.size = count, size
+        for f, end in ((self.rows, 40 * count), (self.symbols, size)):
+            f.seek(end)
+            f.truncate()
+
+    def repeats(self, length: int, limit: int, base: int, directory: str) -> Iterator[pa.RecordBatch]:
+        """Intervals that repeat: positions are marked in a map of the symbols and read back in order."""
+        self.symbols.flush()
+        self.rows.flush()
+        scratch = Scratch(directory)
+        symbols = np.asarray(np.memmap(self.symbols.name, np.uint8, "r", shape=(self.size,)))
+        rows = np.asarray(np.memmap(self.rows.name, np.int64, "r", shape=(self.count, 5)))
+        counted, gone = scratch.array(np.uint8, self.size), scratch.array(np.uint8, self.size)
+        for k in range(0, self.count, ROWS):
+            part = rows[k : k + ROWS]
+            windows = part[:, 3] - part[:, 2]
+            counted[np.repeat(part[:, 4] - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())] = 1
+        for found in repeated(symbols, length, counted, limit, base, directory):
+            gone[found] = 1
+        for k in range(0, self.count, ROWS):
+            part = np.array(rows[k : k + ROWS])
+            low, high = int(part[0, 4]), int(rows[k + ROWS, 4]) if k + ROWS < self.count else self.size
+            found = np.flatnonzero(gone[low:high]) + low
+            if len(found):
+                own = np.searchsorted(part[:, 4], found, "right") - 1
+                begin = found - part[own, 4] + part[own, 2]
+                own, begin, end = runs(own, begin, begin + length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part[own, 0], part[own, 1], begin, end)], names=["d", "th", "at", "ends"])
+
+
+def sorted_of(length: int, shard: int = SHARD, limit: int = QUEUE, base: int = IN_MEMORY):
+    """Intervals that repeat among texts sorted by (core, d, th, at): whole cores gather on disk up to about ``shard`` bytes, whose
+    text is suffix-sorted. A core's texts lie in document order, so the earliest equal window is the least position. A text equal
+    to an earlier one of its core repeats in full, unless it is the same place of a repeated row; so many are recognised at
+    once, others in the sort."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []  # of closed cores with more than one text, and of the open core from `begin` on
-        known: dict[bytes, tuple[int, int, int]] = {}  # texts of the open core and their first place
-        size, core, begin = 0, None, 0
-        again: list[tuple[int, int, int, int]] = []
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(6)]
-            for h, d, th, at, ends, raw in zip(*columns):
-                if h != core:
-                    if len(rows) - begin == 1:
-                        size -= len(rows.pop()[4]) + 1  # a core of one text repeats nothing
-                    if size >= shard:
-                        yield solve(rows)
-                        rows, size = [], 0
-                    known, core, begin = {}, h, len(rows)
-                if raw in known:
-                    if known[raw] != (d, th, at):
+        with tempfile.TemporaryDirectory() as directory:
+            held = Shard(directory)
+            known: dict[bytes, tuple[int, int, int]] = {}  # texts of the open core and their first place
+            core, begin, begin_size, last = None, 0, 0, None
+            again: list[tuple[int, int, int, int]] = []
+            for batch in batches:
+                columns = [batch.column(k).to_pylist() for k in range(5)]
+                for h, d, th, at, ends, text in zip(*columns, batch.column(5)):
+                    if h != core:
+                        if held.count - begin == 1:
+                            held.cut_to(begin, begin_size)  # a core of one text repeats nothing
+                        if held.size >= shard:
+                            yield from held.repeats(length, limit, base, directory)
+                            held.cut_to(0, 0)
+                        known, core, begin, begin_size, last = {}, h, held.count, held.size, None
+                    if last == (d, th, at):
+                        continue
+                    last = d, th, at
+                    raw = text.as_py()
+                    if raw in known:
                         again.append((d, th, at, ends - 1 + length))
-                else:
-                    known[raw] = (d, th, at)
-                    rows.append((d, th, at, ends, raw))
-                    size += len(raw) + 1
-            if again:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in again], pa.int64()) for k in range(4)], names=["d", "th", "at", "ends"])
-                again = []
-        if len(rows) - begin == 1:
-            rows.pop()
-        if rows:
-            yield solve(rows)
+                        continue
+                    if len(known) < KNOWN:
+                        known[raw] = last
+                    held.add(d, th, at, ends, raw)
+                if again:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in again], pa.int64()) for k in range(4)], names=["d", "th", "at", "ends"])
+                    again = []
+            if held.count - begin == 1:
+                held.cut_to(begin, begin_size)
+            if held.count:
+                yield from held.repeats(length, limit, base, directory)
 
     return emit
 

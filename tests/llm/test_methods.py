@@ -91,19 +91,52 @@ def test_induced_order_and_common_prefixes(tmp_path_factory, strings, depth, lim
         assert n == want and (n == depth or x < y)
 
 
-def test_queue_goes_to_disk(tmp_path):
-    q = induced_sort.BucketQueue(str(tmp_path), 10)
+@pytest.mark.parametrize("falling", [False, True])
+def test_queue_goes_to_disk(tmp_path, falling):
+    q = induced_sort.BucketQueue(induced_sort.Scratch(str(tmp_path)), 10, induced_sort.tuple_type(200, 5), falling)
     for k in range(40):
         q.push(k % 3, np.array([k, k + 100]), np.array([0, 1]))
     assert q.spilled > 0 and q.total <= 10
-    for s in range(3):
+    for s in sorted(range(3), reverse=falling):
+        q.push(s, np.array([7 + s]), np.array([0]))
         got = []
         while (run := q.pop(s)) is not None:
             got += run[0].tolist()
-        assert got == [x for k in range(40) if k % 3 == s for x in (k, k + 100)]
+        assert got == [x for k in range(40) if k % 3 == s for x in (k, k + 100)] + [7 + s]
     assert not list(tmp_path.iterdir())
 
 
+def test_memory_does_not_follow_the_text(tmp_path, monkeypatch):
+    """Queues spill, substrings go to files and the names recurse; four times the text takes less than twice the memory."""
+    import tracemalloc
+
+    monkeypatch.setattr(induced_sort, "CHUNK", 1 << 12)
+    rng = np.random.default_rng(1)
+    base = rng.integers(97, 101, 20_000).astype(np.uint8)
+    most = []
+    for n in (1700, 6800):
+        text = np.concatenate([np.append(base[a : a + 150], 0).astype(np.uint8) for a in rng.integers(0, len(base) - 150, n)])
+        text.tofile(tmp_path / str(n))
+        symbols = np.asarray(np.memmap(tmp_path / str(n), np.uint8, "r"))
+        counted, spilled, gone = np.asarray(np.memmap(tmp_path / "counted", np.uint8, "w+", shape=text.shape)), [], np.zeros(len(text), bool)
+        counted[:] = (np.arange(len(text)) % 151) <= 50
+        tracemalloc.start()
+        for found in induced_sort.repeated(symbols, 100, counted, 1 << 9, 1 << 13, str(tmp_path), spilled.append):
+            gone[found] = True
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert min(spilled[-2:]) > 0
+        seen, want = set(), np.zeros(len(text), bool)
+        raw = text.tobytes()
+        for p in np.flatnonzero(counted).tolist():
+            w = raw[p : p + 100]
+            want[p] = w in seen
+            seen.add(w)
+        assert (gone == want).all()
+    # Words, order, names and tuples in memory would be some 40 bytes a symbol.
+    assert most[1] < 2 * most[0] and most[1] < 8 * len(text)
+
+
 def removed_by_brute_force(rows, length):
     seen, out = set(), {}
     for doc_id, text in sorted(rows):
@@ -207,7 +240,9 @@ def test_cleaned_documents(spark, docs):
     assert out.columns == docs.columns
     done = {r["d"]: r for r in suffix_dedup.deduplicated(docs).collect()}
     got = {r["doc_id"]: r for r in out.collect()}
-    assert set(got) == {i for i, r in done.items() if r["n_removed"] == 0 or r["n_removed"] < r["n_bytes"]} or set(got) <= set(done)
+    # Gone are the documents with nothing left, or nothing but parts of cut characters.
+    assert set(got) <= set(done) and all(r["n_removed"] > 0 and r["n_bytes"] - r["n_removed"] < 4 for i, r in done.items() if i not in got)
+    assert all(i in got for i, r in done.items() if r["n_removed"] == 0 or r["n_bytes"] - r["n_removed"] >= 4)
     for i, r in got.items():
         assert r["n_chars"] == len(r["text"])
         if done[i]["n_removed"] == 0:
