@@ -1,5 +1,7 @@
 """Every operator and stage on awkward small tables: nulls, empty and long texts, ties, repeated rows, no rows, extra columns."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,58 @@ def test_vectors(spark):
         (100, 1, 8, -top // 2), (100, 2, 0, -top), (100, 3, 0, -top), (100, 4, 1, -top), (100, 5, 2, -top),
     ]
     assert mtree.op10(df.limit(0)).count() == 0
+
+
+def unnamed_rows():
+    """Two thousand rows without an id and a hundred ids with two texts each; a line that all share, copies, and near copies."""
+    line = "this line of some hundred and twenty bytes stands in every one of the documents that have no number of their own, as it were. "
+    own = lambda k: " ".join(f"w{k}x{j * 7919 % 9973}" for j in range(40))
+    rows = [(None, line + own(k), "en", "a", 1) for k in range(2000)]
+    rows += [(k, own(3000 + k), "en", "a", 1) for k in range(100)] + [(k, line + own(4000 + k), "fr", "b", 1) for k in range(100)]
+    return rows + [(None, own(3001), "en", "a", 1), (None, line + own(7), "en", "a", 1), (500, own(3002), "en", "a", 1)]
+
+
+def test_repeats_without_ids_equal_brute_force(spark):
+    """By value: rows in the order of id (none last) and text hash, equal rows as one document."""
+    df = spark.createDataFrame(unnamed_rows(), DOCS)
+    placed = sorted({(r["d"], r["th"], r["text"]) for r in suffix_dedup.keyed(df).collect()})
+    seen, want = set(), {}
+    for d, th, text in placed:
+        raw = text.encode()
+        gone = [False] * len(raw)
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone[p : p + 100] = [True] * 100
+            seen.add(raw[p : p + 100])
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        want[text, d] = (len(raw), sum(gone), hashlib.sha256(kept).hexdigest())
+    texts = {(d, th): t for d, th, t in placed}
+    got = suffix_dedup.deduplicated(df).collect()
+    assert len(got) == len(unnamed_rows()) and sum(r["n_removed"] > 0 for r in got) > 2000
+    for r in got:
+        assert (r["n_bytes"], r["n_removed"], r["kept_sha256"]) == want[texts[r["d"], r["th"]], r["d"]]
+
+
+def test_one_of_each_group_stays_without_ids(spark):
+    """By value: of each component of fingerprints the row of the least (id, none last; MD5 of the text) stays, once."""
+    rows = unnamed_rows()
+    fps = {t: simhash.fingerprint(t) for _, t, *_ in rows}
+    root = {f: f for f in fps.values()}
+
+    def find(f):
+        while root[f] != f:
+            root[f] = root[root[f]]
+            f = root[f]
+        return f
+
+    own = sorted(root)
+    for k, a in enumerate(own):
+        for b in own[k + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    best = {}
+    for i, t, *_ in rows:
+        key = (i is None, i or 0, hashlib.md5(t.encode()).hexdigest(), t)
+        best[find(fps[t])] = min(best.get(find(fps[t]), key), key)
+    got = simhash.representatives(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got) == sorted((n, i, t) for n, i, _, t in best.values())
