@@ -82,7 +82,7 @@ def test_rpc(spark, roots):
     out = io.StringIO()
     rpc.serve_stdio(s, io.StringIO("\n".join(map(json.dumps, lines)) + "\n{bad\n"), out)
     got = [json.loads(x) for x in out.getvalue().splitlines()]
-    assert "Registered indexes: one" in got[0]["result"]["instructions"] and len(got[1]["result"]["tools"]) == 3
+    assert "Indexes at hand: one" in got[0]["result"]["instructions"] and len(got[1]["result"]["tools"]) == 3
     assert json.loads(got[2]["result"]["content"][0]["text"])["results"][0]["content"] == "words of one"
     assert [g["error"]["code"] for g in got[3:]] == [-32602, -32601, -32700]
     import urllib.request
