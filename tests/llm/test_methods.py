@@ -599,6 +599,31 @@ def test_mix(docs, shard_words):
     assert rows[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
 
 
+def test_any_number_of_sources(spark):
+    """Planned by tables, the mix is the one planned on the driver; sources rank by code point, null last."""
+    rng = np.random.default_rng(11)
+    names = [*(f"s{k}" for k in range(150)), "é", "zz", "\U0001f600", "\ufb01", "", None]
+    rows = [(k, names[int(rng.integers(len(names)))], "w " * int(rng.integers(0, 700))) for k in range(1500)]
+    rows += [(2000 + k, "s7", "x " * 900) for k in range(150)] + [(3000 + k, "s8", None) for k in range(700)] + [(4000, "only empty", ""), (None, None, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    options = {"min_shard_words": 500 * 20, "block_words": 16}
+    want = mixing.mix(docs, **options).toPandas().sort_values(["doc_id", "size"]).reset_index(drop=True)
+    got = mixing.mix(docs, max_sources=3, **options).toPandas().sort_values(["doc_id", "size"]).reset_index(drop=True)
+    exact = ["doc_id", "size", "source_size", "taken", "quota", "blocks", "start", "begin"]
+    assert got[exact].equals(want[exact])
+    assert np.allclose(got.target, want.target)
+    assert want[want.doc_id == 2000].source_size.iloc[0] > 2 * options["min_shard_words"]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.sampled_from([0.0, 0.3, 1.0, 1.0, 2.5, 7.0, 40.0]), min_size=1, max_size=9), st.integers(0, 90))
+def test_quotas_by_tables(spark, votes, seats):
+    table = spark.createDataFrame([(k, k // 3, v) for k, v in enumerate(votes)], "src long, range int, votes double")
+    seats = seats if sum(votes) else 0
+    got = {r["src"]: r["quota"] for r in mixing.source_quotas(table, seats).collect()}
+    assert [got[k] for k in range(len(votes))] == mixing.sainte_lague(votes, seats)
+
+
 def test_mixed_documents_hold_the_taken_words(spark, docs):
     twice = docs.unionByName(docs.where("doc_id < 20"))
     taken = {r["doc_id"]: r["t"] for r in mixing.mix(twice).groupBy("doc_id").agg(F.sum("taken").alias("t")).collect()}
