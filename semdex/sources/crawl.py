@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from semdex.config import PROJECT_DIR, Indexing
 from semdex.operators.routing import EXTRACTABLE, is_extractable
 from semdex.schema import FILES, TEXTS
-from semdex.sources import documents, html
+from semdex.sources import documents, html, pdf
 
 IGNORE_FILES = (".gitignore", ".semdexignore")
 SNIFF = 1024
@@ -140,7 +140,7 @@ def text_of(path: str, raw: bytes) -> tuple[str | None, str | None]:
     elif ext == "docx":
         out = documents.docx_text(raw)
     elif ext == "pdf":
-        out = documents.pdf_text(raw)
+        out = pdf.pdf_text(raw)
     else:
         try:
             return raw.decode("utf-8"), None

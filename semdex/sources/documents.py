@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_PDF_BYTES = 200
+from semdex.sources.pdf import pdf_text
 
 
 def heading_level(style: str) -> int:
@@ -111,66 +111,6 @@ def docx_text(raw: bytes) -> str | None:
     return out or None
 
 
-STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
-SHOW = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[-+]?[0-9]*\.?[0-9]+|[A-Za-z'\"*]+", re.S)
-ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def pdf_string(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        octal = lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else ESCAPES.get(m[1], b"" if m[1] == b"\n" else m[1])
-        raw = re.sub(rb"\\([0-7]{1,3}|.)", octal, token[1:-1], flags=re.S)
-    if raw[:2] == b"\xfe\xff":
-        return raw[2:].decode("utf-16-be", "replace")
-    return raw.decode("cp1252", "replace")
-
-
-def pdf_page_text(content: bytes) -> str:
-    """Shown strings of a content stream; text positioning starts a line, wide gaps are spaces."""
-    out, strings = [], []
-    in_array, number = False, 0.0
-    for token in SHOW.findall(content):
-        if token[:1] in b"(<":
-            strings.append(pdf_string(token))
-        elif token == b"[":
-            in_array = True
-        elif token == b"]":
-            in_array = False
-        elif token[:1] in b"+-.0123456789":
-            number = float(token)
-            if in_array and number < -180:
-                strings.append(" ")
-        else:
-            if token in (b"'", b'"', b"T*", b"Td", b"TD", b"Tm", b"ET") and out and not out[-1].endswith("\n"):
-                out.append("\n")
-            if token in (b"Tj", b"TJ", b"'", b'"'):
-                out.append("".join(strings))
-            strings = []
-    return "".join(out)
-
-
-def pdf_text(raw: bytes) -> str | None:
-    """Text layer of plain or Flate content streams in simple encodings; null if it is under 200 bytes."""
-    if not raw.startswith(b"%PDF"):
-        return None
-    pages = []
-    for head, body in STREAM.findall(raw):
-        if b"FlateDecode" in head:
-            try:
-                body = zlib.decompressobj().decompress(body)
-            except zlib.error:
-                continue
-        elif b"/Filter" in head:
-            continue
-        if re.search(rb"\bBT\b", body):
-            pages.append(pdf_page_text(body))
-    text = "\n".join(pages).strip()
-    return text if len(text.encode()) >= LEAST_PDF_BYTES else None
-
-
 def make_docx(lines: list[str]) -> bytes:
     """A minimal document: the first line a heading, the others paragraphs."""
     body = "".join(

@@ -1,11 +1,15 @@
+import base64
 import io
 import os
 import zipfile
+import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from semdex.config import Chunking, Indexing
-from semdex.sources import code, crawl, documents, html
+from semdex.sources import code, crawl, documents, html, pdf
 
 ARTICLE = """<html><head><title>Quiet  Rivers</title><style>x{}</style></head><body><nav><ul><li><a href=1>Home</a><li><a href=2>Shop</a></ul></nav>
 <div class="sidebar">Buy things now, buy more things now</div>
@@ -58,6 +62,73 @@ def test_docx():
     assert [documents.heading_level(s) for s in ("Title", "Heading1", "heading 6", "Heading7", "Normal", "Heading")] == [1, 1, 6, 0, 0, 0]
 
 
+def pdf_file(objects: dict[int, bytes], packed: tuple[int, ...] = (), extra: bytes = b"") -> bytes:
+    """A file of numbered objects; those in packed lie in one compressed object stream."""
+    out = b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"
+    for n, body in objects.items():
+        if n not in packed:
+            out += b"%d 0 obj\n" % n + body + b"\nendobj\n"
+    if packed:
+        index, bodies = b"", b""
+        for n in packed:
+            index += b"%d %d " % (n, len(bodies))
+            bodies += objects[n] + b" "
+        body = zlib.compress(index + bodies)
+        head = b"<</Type/ObjStm/N %d/First %d/Filter/FlateDecode/Length %d>>" % (len(packed), len(index), len(body))
+        out += b"90 0 obj\n" + head + b"\nstream\r\n" + body + b"\r\nendstream\nendobj\n"
+    return out + extra + b"%%EOF%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%"
+
+
+def pdf_stream(body: bytes, head: bytes = b"") -> bytes:
+    return b"<<" + head + b"/Length %d>>\nstream\n" % len(body) + body + b"\nendstream"
+
+
+CMAP = b"""/CIDInit /ProcSet findresource begin begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange
+2 beginbfchar <0003> <0020> <0010> <00660069> endbfchar
+3 beginbfrange <0024> <003D> <0041> <0044> <005D> <0061> <0100> <0101> [<03B1> <D83DDE00>] endbfrange endcmap"""
+
+
+@pytest.mark.parametrize("packed", [(), (1, 2, 3, 4, 6, 7)])
+def test_pdf_of_objects(packed):
+    """Page order and inherited fonts, a two-byte font with a character map, named glyphs, stream filters, moves in a line."""
+    filler = b"(" + b"all is well here " * 15 + b") Tj T* "
+    one = b"BT /F1 12 Tf 50 700 Td <0030 0048> Tj [<0003> <0010>] TJ 0 -14 Td /F2 1 Tf (caf\\001 \\002x) Tj 40 0 Td (same \\(line\\)) Tj ET BI /W 1 ID (\x00 EI "
+    two = b"BT /F1 9 Tf <01000101> Tj /F2 9 Tf T* " + filler + b"ET q /X1 Do Q"
+    objects = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>",
+        2: b"<</Type/Pages/Kids[4 0 R 3 0 R 4 0 R]/Count 2/Resources<</Font<</F1 6 0 R/F#32 7 0 R>>/XObject<</X1 10 0 R>>>>>>",
+        3: b"<</Type/Page/Parent 2 0 R/Contents 8 0 R>>",
+        4: b"<</Type/Page/Parent 2 0 R/Contents[9 0 R]>>",
+        6: b"<</Type/Font/Subtype/Type0/Encoding/Identity-H/ToUnicode 5 0 R>>",
+        7: b"<</Type/Font/Subtype/Type1/Encoding<</BaseEncoding/WinAnsiEncoding/Differences[1/eacute/uni20AC]>>>>",
+        5: pdf_stream(zlib.compress(CMAP), b"/Filter/FlateDecode"),
+        8: pdf_stream(base64.a85encode(two) + b"~>", b"/Filter[/ASCII85Decode]"),
+        9: pdf_stream(one.hex().encode() + b">", b"/Filter/AHx"),
+        10: pdf_stream(b"BT (in a form) Tj ET", b"/Type/XObject/Subtype/Form"),
+    }
+    got = pdf.pdf_text(pdf_file(objects, packed)).split("\n")
+    assert got[:4] == ["Me fi", "café €x same (line)", "α😀", ("all is well here " * 15)]
+    assert got[4:] == ["in a form"]
+    # A later definition counts, and an encrypted file has no text.
+    newer = b"9 0 obj\n" + pdf_stream(b"BT (newer) Tj ET") + b"\nendobj\n"
+    assert pdf.pdf_text(pdf_file(objects, packed, newer)).startswith("newer\n")
+    assert pdf.pdf_text(pdf_file(objects, packed, b"trailer <</Root 1 0 R/Encrypt 11 0 R>>\n")) is None
+
+
+def test_pdf_oddities():
+    assert pdf.lzw(bytes.fromhex("800B6050220C0C8501")) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])  # the format's own example
+    loop = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Kids[2 0 R 3 0 R]>>", 3: b"3 0 R", 4: b"[[[<</A(" * 5000}
+    assert pdf.pdf_text(pdf_file(loop)) is None
+    assert [pdf.glyph(n) for n in ("A", "eacute", "ccedilla", "fi", "uni00410042", "u1F600", "uD800", "a.alt", "g12", "space")] == ["A", "é", "ç", "fi", "AB", "😀", "", "a", "", " "]
+    assert pdf.page_text(b"BT 1 0 0 1 9 9 Tm (a) Tj ET BT 1 0 0 1 30 9 Tm (b) Tj 1 0 0 1 9 5 Tm (c\\\n) ' ET") == "a b\nc"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([b"1 0 obj", b"endobj", b"<<", b">>", b"[", b"]", b"(", b")", b"/Type", b"/Page", b"/Kids", b"/Contents 1 0 R", b"stream\n", b"endstream", b" 1 0 R ", b"<4", b">", b"%x", b"\n", b"trailer", b"BT (a) Tj", b"/ObjStm /First 3", b"9" * 5000, b"\xff"]), max_size=40))
+def test_no_bytes_crash_the_parser(parts):
+    assert isinstance(pdf.pdf_text(b"%PDF-1.4\n" + b" ".join(parts)), str | None)
+
+
 def test_pdf():
     lines = ["The quarterly report (draft) says", "that all is well."] * 8
     for compress in (True, False):
@@ -65,7 +136,7 @@ def test_pdf():
         assert got.split("\n")[:2] == lines[:2]
     assert documents.pdf_text(documents.make_pdf(["short"])) is None
     assert documents.pdf_text(b"%PDF-1.4\ngarbage") is None and documents.pdf_text(b"other") is None
-    assert "Hello you" in documents.pdf_page_text(b"BT [(Hel) 20 (lo) -300 (you)] TJ ET")
+    assert "Hello you" in pdf.page_text(b"BT [(Hel) 20 (lo) -300 (you)] TJ ET")
 
 
 @pytest.fixture
