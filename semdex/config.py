@@ -34,6 +34,8 @@ class Chunking:
     # Kept so that files with the key load and show it; a file without syntax chunks is always split as text.
     fallback_to_tokens: bool = True
     rescue_oversized: bool = False
+    # A vocabulary file that counts tokens, on a path that all executors see; empty: white-space tokens.
+    tokenizer: str = ""
 
     def __post_init__(self) -> None:
         if not 0 <= self.overlap_tokens < self.max_chunk_tokens:

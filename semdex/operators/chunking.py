@@ -1,17 +1,21 @@
-"""Chunking texts into token-bounded pieces, with higher-order functions only.
+"""Chunking texts into token-bounded pieces, with higher-order functions; a vocabulary's tokens are counted in Python.
 
 A text is split into segments by its kind; segments are packed greedily in order, joined by a blank line, and a segment above
-the bound is cut into overlapping windows. A token is a white-space token (see functions.text); blank texts have no chunks.
+the bound is cut into overlapping windows. A token is a white-space token (see functions.text), or one of a vocabulary; blank texts have no chunks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semdex.config import Chunking
 from semdex.functions.binding import let
 from semdex.functions.text import tokens, trim_unicode
+from semdex.functions.tokenizer import Vocabulary, WhiteSpace, tokenizer
 from semdex.operators.routing import file_type
 
 
@@ -88,9 +92,46 @@ def packed(segments: Column, max_tokens: int, overlap: int) -> Column:
     return F.aggregate(measured, start, step, flushed)
 
 
+def packed_list(segments: Iterable[str | None], counter: WhiteSpace | Vocabulary, max_tokens: int, overlap: int) -> list[dict]:
+    """packed() of one list, by any counter of tokens."""
+    out: list[dict] = []
+    held, size = [], 0
+
+    def flush() -> None:
+        if held:
+            out.append({"content": "\n\n".join(held), "n": size})
+            held.clear()
+
+    for seg in segments:
+        n = 0 if seg is None else counter.count(seg)
+        if n > max_tokens:
+            flush()
+            out.extend({"content": c, "n": k} for c, k in counter.windows(seg, max_tokens, overlap))
+        elif n:
+            if held and size + n > max_tokens:
+                flush()
+            size = size + n + 2 if held else n
+            held.append(seg)
+    flush()
+    return out
+
+
+def packed_by_vocabulary(segments: Column, config: Chunking) -> Column:
+    """packed() with the tokens of the configured vocabulary, in Arrow batches."""
+    path, max_tokens, overlap = config.tokenizer, config.max_chunk_tokens, config.overlap_tokens
+
+    @F.pandas_udf(f"array<{PIECE}>")
+    def found(lists: pd.Series) -> pd.Series:
+        counter = tokenizer(path)
+        return pd.Series([None if x is None else packed_list(x, counter, max_tokens, overlap) for x in lists], dtype=object)
+
+    return found(segments)
+
+
 def pieces(path: Column, text: Column, config: Chunking) -> Column:
     """Array of (content, n, context) of a file's split text; null where the text is blank."""
-    found = packed(split_segments(file_type(path), F.when(trim_unicode(text) != "", text)), config.max_chunk_tokens, config.overlap_tokens)
+    segments = split_segments(file_type(path), F.when(trim_unicode(text) != "", text))
+    found = packed_by_vocabulary(segments, config) if config.tokenizer else packed(segments, config.max_chunk_tokens, config.overlap_tokens)
     return F.transform(found, lambda p: F.struct(p["content"].alias("content"), p["n"].alias("n"), F.lit("").alias("context")))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semdex.config import Chunking
+from semdex.functions.tokenizer import tokenizer
 from semdex.operators.chunking import numbered
 from semdex.operators.routing import language
 
@@ -312,20 +313,18 @@ def chunks_of(source: str, lang: str, config: Chunking) -> list[tuple[str, str,
     if items is None:
         return None
     out: list[tuple[str, str, int]] = []
+    tokens = tokenizer(config.tokenizer)
 
     def emit(item: Item, path: str) -> None:
         text = source[item.begin : item.end]
         content = f"{item.lead}\n{text}" if item.lead else text
-        words = content.split()
+        n = tokens.count(content)
         inner = f"{path}::{item.kind}::{item.name}" if path else f"{item.kind}::{item.name}"
-        if len(words) <= config.max_chunk_tokens:
-            out.append((content, inner, len(words)))
+        if n <= config.max_chunk_tokens:
+            out.append((content, inner, n))
         else:
             if config.rescue_oversized:
-                step = config.max_chunk_tokens - config.overlap_tokens
-                for k in range(0, max(1, len(words) - config.overlap_tokens), step):
-                    part = words[k : k + config.max_chunk_tokens]
-                    out.append((" ".join(part), inner, len(part)))
+                out.extend((part, inner, k) for part, k in tokens.windows(content, config.max_chunk_tokens, config.overlap_tokens))
             inner = path
         for member in item.members:
             emit(member, inner)

@@ -1,10 +1,14 @@
+import os
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from semdex.config import Chunking
+from semdex.functions import tokenizer
 from semdex.operators import chunking
+from semdex.sources import code
 
 
 def parts(spark, f, text):
@@ -58,3 +62,38 @@ def test_no_python_in_the_plan(spark, sf):
     df = chunking.chunked(spark.createDataFrame([("/a.md", "x")], "file_path string, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+LINES = st.lists(st.sampled_from(["", "a b", "c", "d e f g h", "  ", "# t", "i j k l m n o p q"]), max_size=8)
+
+
+@settings(max_examples=6, deadline=None)
+@given(LINES)
+def test_lists_pack_as_columns_do(spark, lines):
+    text = "\n\n".join(lines)
+    want = chunks(spark, text, max_chunk_tokens=4, overlap_tokens=1)
+    segments = parts(spark, chunking.split_prose, text)
+    assert [(p["content"], p["n"]) for p in chunking.packed_list(segments, tokenizer.tokenizer(""), 4, 1)] == want
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
+def test_tokens_of_a_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(VOCABULARY)
+    count = lambda t: len(model.encode(t, add_special_tokens=False).ids)
+    long = " ".join(f"antidisestablishmentarianism{k} 😀é 漢字" for k in range(40))
+    text = f"First  words.\n\nSecond <|endoftext|> part.\n\n{long}\n\nLast."
+    config = {"max_chunk_tokens": 50, "overlap_tokens": 0, "tokenizer": VOCABULARY}
+    found = chunks(spark, text, **config)
+    first, second = "First  words.", "Second <|endoftext|> part."
+    assert found[0] == (f"{first}\n\n{second}", count(first) + count(second) + 2) and found[-1] == ("Last.", count("Last."))
+    assert "".join(c for c, _ in found[1:-1]) == long and len(found) > 10
+    assert all(n == count(c) and n <= 52 for c, n in found[1:-1])
+    lapped = [c for c, _ in chunks(spark, text, **config | {"overlap_tokens": 10})[1:-1]]
+    assert all(any(b.startswith(a[-k:]) for k in range(5, 60)) for a, b in zip(lapped, lapped[1:]))
+    assert chunks(spark, None, **config) == chunks(spark, " \n", path="/a.bin", **config) == []
+    code_config = Chunking(max_chunk_tokens=30, overlap_tokens=5, tokenizer=VOCABULARY, rescue_oversized=True)
+    items = code.chunks_of("def f():\n    return 1\n\ndef g():\n    return '" + "xyzzy " * 60 + "'\n", "python", code_config)
+    assert items[0][1:] == ("fn::f", count(items[0][0])) and len(items) > 2 and all(n == count(c) for c, _, n in items)
