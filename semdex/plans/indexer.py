@@ -80,6 +80,7 @@ class Indexer:
             return df
 
         try:
+            files = kept(files)
             state = kept(diff.classify(files, self.store.manifest()))
             counts = {r["status"]: r["count"] for r in state.groupBy("status").count().collect()}
             LOG.info("%s: files %s", self.root, counts)

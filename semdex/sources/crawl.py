@@ -1,12 +1,13 @@
-"""Crawling a file tree on the driver, and reading files on the executors.
+"""Crawling a file tree and reading its files.
 
-Only names and times are gathered on the driver; bytes are read where the tasks run, so the tree must be on storage that all
-of them see. Ignore rules come from .gitignore and .semdexignore files of every folder, hidden names are passed over, and
+The driver lists small trees; of larger ones it lists the upper folders, and executors walk below them. Bytes are read where
+the tasks run, so the tree must be on storage that all of them see. Ignore rules come from .gitignore and .semdexignore files of every folder, hidden names are passed over, and
 the configured patterns apply from the root.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import warnings
@@ -79,12 +80,19 @@ def rules_of(path: Path) -> list[Rule]:
         return []
 
 
-def crawl_paths(root: str | Path, config: Indexing | None = None) -> Iterator[tuple[str, int, int]]:
-    """(path, modification time in ns, size) of the files that no rule ignores; what cannot be read is warned of and passed over."""
-    config = config or Indexing()
-    root = Path(root)
-    fixed = [r for p in config.ignore_patterns if (r := Rule.parse(p))]
-    inherited: dict[str, list[tuple[str, list[Rule]]]] = {}
+def _fixed(config: Indexing) -> list[Rule]:
+    return [r for p in config.ignore_patterns if (r := Rule.parse(p))]
+
+
+def walk(root: str | Path, config: Indexing, start: str = "") -> Iterator[tuple[str, list[str], list[str]]]:
+    """(folder, its folders, its files) from a folder of the tree downwards, without what a rule ignores.
+
+    start and the folders given are relative to root and end with a slash; rules of the folders above start hold as well.
+    """
+    fixed, inherited = _fixed(config), {}
+    if start:
+        above = [start[: k + 1] for k, c in enumerate(start[:-1]) if c == "/"]
+        inherited[os.path.dirname(start[:-1])] = [(base, own) for base in ["", *above] if (own := own_rules(Path(root, base)))]
 
     def ignored(rel: str, folder: bool, levels: list[tuple[str, list[Rule]]]) -> bool:
         if any(r.pattern.match(rel) and (folder or not r.folder_only) for r in fixed):
@@ -97,27 +105,52 @@ def crawl_paths(root: str | Path, config: Indexing | None = None) -> Iterator[tu
                     verdict = not r.negated
         return verdict
 
-    for folder, names, files in os.walk(root, followlinks=config.follow_symlinks, onerror=lambda e: warnings.warn(str(e), stacklevel=2)):
+    for folder, names, files in os.walk(Path(root, start), followlinks=config.follow_symlinks, onerror=lambda e: warnings.warn(str(e), stacklevel=2)):
         rel = os.path.relpath(folder, root)
         base = "" if rel == "." else rel.replace(os.sep, "/") + "/"
-        own = [r for name in IGNORE_FILES for r in rules_of(Path(folder, name))]
-        levels = inherited.get(os.path.dirname(base.rstrip("/")) if base else "", []) + ([(base, own)] if own else [])
-        inherited[base.rstrip("/")] = levels
+        own = own_rules(Path(folder))
+        levels = inherited.get(os.path.dirname(base[:-1]) if base else "", []) + ([(base, own)] if own else [])
+        inherited[base[:-1]] = levels
         names[:] = sorted(n for n in names if not n.startswith(".") and not ignored(base + n, True, levels))
-        for name in sorted(files):
-            if name.startswith(".") or ignored(base + name, False, levels):
-                continue
-            path = os.path.join(folder, name)
-            try:
-                if not os.path.isfile(path) or (os.path.islink(path) and not config.follow_symlinks):
-                    continue
-                stat = os.stat(path)
-                if config.skip_binary and is_binary(path):
-                    continue
-            except OSError as e:
-                warnings.warn(f"skipping {path}: {e}", stacklevel=2)
-                continue
-            yield path, stat.st_mtime_ns, stat.st_size
+        yield base, names, sorted(n for n in files if not n.startswith(".") and not ignored(base + n, False, levels))
+
+
+def own_rules(folder: Path) -> list[Rule]:
+    return [r for name in IGNORE_FILES for r in rules_of(folder / name)]
+
+
+def entry_of(path: str, config: Indexing) -> tuple[str, int, int] | None:
+    """(path, modification time in ns, size) of a file; None for what is none, is binary or cannot be read, the last with a warning."""
+    try:
+        if not os.path.isfile(path) or (os.path.islink(path) and not config.follow_symlinks):
+            return None
+        stat = os.stat(path)
+        return None if config.skip_binary and is_binary(path) else (path, stat.st_mtime_ns, stat.st_size)
+    except OSError as e:
+        warnings.warn(f"skipping {path}: {e}", stacklevel=2)
+        return None
+
+
+def crawl_paths(root: str | Path, config: Indexing | None = None) -> Iterator[tuple[str, int, int]]:
+    """(path, modification time in ns, size) of the files that no rule ignores; what cannot be read is warned of and passed over."""
+    config = config or Indexing()
+    for base, _, files in walk(root, config):
+        yield from (found for name in files if (found := entry_of(os.path.join(root, base, name), config)))
+
+
+def upper_folders(root: str | Path, config: Indexing, enough: int) -> list[tuple[str, bool]]:
+    """Folders that together make up the tree, and whether all below belongs to one or only its own files; level by level, until
+    there are enough of them."""
+    alone, level = [], [""]
+    while level and len(alone) + len(level) < enough:
+        below = []
+        for base in level:
+            names = next(walk(root, config, base), (base, [], []))[1]
+            # Links to folders are passed over in a walk unless links are followed.
+            below += [f"{base}{n}/" for n in names if config.follow_symlinks or not Path(root, base, n).is_symlink()]
+        alone += [(base, False) for base in level]
+        level = below
+    return alone + [(base, True) for base in level]
 
 
 def is_binary(path: str) -> bool:
@@ -128,8 +161,28 @@ def is_binary(path: str) -> bool:
         return b"\0" in f.read(SNIFF)
 
 
-def crawl(spark: SparkSession, root: str | Path, config: Indexing | None = None) -> DataFrame:
-    return spark.createDataFrame(list(crawl_paths(root, config)), FILES)
+def crawl(spark: SparkSession, root: str | Path, config: Indexing | None = None, few: int = 10_000) -> DataFrame:
+    """The files of crawl_paths(). A tree of more than a few files is walked by the executors, folder by folder, and its files are
+    looked at in other tasks, so that a large folder does not keep one busy."""
+    config = config or Indexing()
+    found = list(itertools.islice(crawl_paths(root, config), few + 1))
+    if len(found) <= few:
+        return spark.createDataFrame(found, FILES)
+    root, slots = str(root), spark.sparkContext.defaultParallelism
+    folders = upper_folders(root, config, 4 * slots)
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start, deep in zip(pdf["base"], pdf["deep"]):
+                for base, _, files in walk(root, config, start) if deep else itertools.islice(walk(root, config, start), 1):
+                    yield pd.DataFrame({"file_path": [os.path.join(root, base, n) for n in files]}, dtype=object)
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([e for p in pdf["file_path"] if (e := entry_of(p, config))], columns=FILES.names)
+
+    dealt = spark.createDataFrame(folders, "base string, deep boolean").repartition(min(len(folders), 4 * slots))
+    return dealt.mapInPandas(names, "file_path string").repartition(4 * slots, "file_path").mapInPandas(entries, FILES)
 
 
 def text_of(path: str, raw: bytes) -> tuple[str | None, str | None]:

@@ -153,6 +153,25 @@ def tree(tmp_path):
     return tmp_path
 
 
+@pytest.mark.parametrize("enough", [1, 3, 100])
+def test_crawl_on_executors(spark, tree, enough, monkeypatch):
+    """The same files, however many folders the driver lists; rules of upper folders hold below them."""
+    for folder in ("deep/er/x", "deep/er/y", "wide"):
+        os.makedirs(os.path.join(tree, folder), exist_ok=True)
+        for k in range(3):
+            with open(os.path.join(tree, folder, f"{k}.txt"), "w") as f:
+                f.write("t" * k)
+    with open(os.path.join(tree, "deep", ".gitignore"), "w") as f:
+        f.write("y/\n1.txt\n")
+    with open(os.path.join(tree, "deep/er/x", ".gitignore"), "w") as f:
+        f.write("!1.txt\n")
+    want = sorted(crawl.crawl_paths(tree))
+    assert any(p.endswith("x/1.txt") for p, _, _ in want) and not any("/y/" in p for p, _, _ in want)
+    real = crawl.upper_folders
+    monkeypatch.setattr(crawl, "upper_folders", lambda root, config, _: real(root, config, enough))
+    assert sorted(tuple(r) for r in crawl.crawl(spark, tree, few=2).collect()) == want
+
+
 def test_crawl(tree):
     found = {os.path.relpath(p, tree) for p, _, _ in crawl.crawl_paths(tree)}
     assert found == {"a.py", "__init__.py", "paper.pdf", "latin.txt", "src/b.txt", "src/keep.log", "src/deep/only.txt", "docs/a/final.md"}
