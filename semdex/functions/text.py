@@ -11,6 +11,11 @@ def trim_unicode(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def trim_ascii(c: Column) -> Column:
+    """Trim spaces, tabs, line feeds and carriage returns, and no other white space."""
+    return F.btrim(c, F.lit(" \n\t\r"))
+
+
 def extension(path: Column) -> Column:
     """Lower-case extension of a path's last component, empty if it has none or only a leading dot."""
     name = F.element_at(F.split(path, "/"), -1)

@@ -6,7 +6,7 @@ the bound is cut into overlapping windows. A token is a white-space token (see f
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,24 +19,26 @@ from semdex.functions.tokenizer import Vocabulary, WhiteSpace, tokenizer
 from semdex.operators.routing import file_type
 
 
-def _cleaned(parts: Column) -> Column:
-    return F.filter(F.transform(parts, trim_unicode), lambda s: s != "")
+Trim = Callable[[Column], Column]
 
 
-def split_prose(text: Column) -> Column:
+def _cleaned(parts: Column, trim: Trim) -> Column:
+    return F.filter(F.transform(parts, trim), lambda s: s != "")
+
+
+def split_prose(text: Column, trim: Trim = trim_unicode) -> Column:
     """Blocks between blank lines, trimmed; none if all are blank."""
-    return _cleaned(F.split(text, r"\n\n|\r\n\r\n"))
+    return _cleaned(F.split(text, r"\n\n|\r\n\r\n"), trim)
 
 
-def split_code(text: Column) -> Column:
-    """As prose, but the whole text if there is no block."""
-    parts = split_prose(text)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+def split_code(text: Column, trim: Trim = trim_unicode) -> Column:
+    """As prose, but the whole text if there is no block; null of a null text."""
+    return let(split_prose(text, trim), lambda parts: F.when(F.size(parts) == 0, F.array(text)).otherwise(parts))
 
 
-def split_markdown(text: Column) -> Column:
+def split_markdown(text: Column, trim: Trim = trim_unicode) -> Column:
     """Blocks between blank lines and before every line that starts with #."""
-    return _cleaned(F.split(text, r"\n(?=#)|\n\n"))
+    return _cleaned(F.split(text, r"\n(?=#)|\n\n"), trim)
 
 
 def split_segments(kind: Column, text: Column) -> Column:

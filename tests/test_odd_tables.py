@@ -2,14 +2,21 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_catalogue import QUERIES, SQL, rows
 
+from semdex.operators import chunking
 from semdex.sources import html
 
 #: Ends of a heading that was cut after its characters were escaped, and references without their semicolon in the text.
 ENDS = ["and&amp", "and&am", "and&a", "and&", "&quot", "&quo", "&lt", "&gt", "&copy", "&middot", "&#x27", "&#x2", "&#", "&ampx;", "&amp;amp", "&amp;lt;", "AT&T", "a && b", "&amp;&amp"]
 
 
+#: White space that SQL's trim leaves, beside what it takes.
+SPACES = ["", " ", "\n", "\t\r\n ", "\x0b", "\x0c", "\x1f", "\x85", "\u00a0", "\u2003", "\u2028", "\u3000", "\ufeff"]
+TEXTS = [None, *SPACES, *(f"{a}x{a}\n{a}\n{a}{b}y{b}{a}" for a in SPACES for b in " \r\u00a0"), "a\r\n\r\nb", "\r\n\r\n", "a\n\n\n#b", "\n" * 500, "a\n" * 5000]
+
+
 def page(end):
     words = "Plain words that are long enough to count as content of a page. " * 5
     return f"""<!DOCTYPE html><html><head><title>{end}</title></head><body><nav><ul><li><a href="?a=1&copy=2">Home</a></li></ul></nav>
@@ -47,6 +54,16 @@ def test_gate_without_semicolons(equal):
     equal("html_gate", "pages", list(enumerate(articles)), "page_id long, html string")
 
 
+@pytest.mark.parametrize("name", ["split_code", "split_prose", "split_markdown"])
+def test_splits_of_blank_and_null_texts(equal, name):
+    equal(name, "documents", [(k, t, "en", "src0") for k, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string")
+
+
+def test_split_code_of_null(spark):
+    got = spark.createDataFrame([(None,), ("\n",), (" a",)], "t string").select(chunking.split_code(F.col("t"))).collect()
+    assert [r[0] for r in got] == [None, ["\n"], ["a"]]
+
+
 def test_references():
     """By default as HTML has them, some without a semicolon; closed, only with one."""
     assert html.to_markdown("<p>a&amp</p>") == "a&"
